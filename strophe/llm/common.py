@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -92,6 +94,8 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, kee
     longest text. ``keep`` columns are passed through; ``schema`` names all columns that come out.
     """
 
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields if f.name not in keep}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # many small lists and tuples, no cycles: collections would only walk them
         for batch in batches:
@@ -106,7 +110,7 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, kee
                     total += len(texts[-1])
                 out = make(texts)
                 cols = {c: v.slice(at, len(texts)) for c, v in kept.items()}
-                yield pa.RecordBatch.from_pydict({**cols, **out})
+                yield pa.RecordBatch.from_pydict({**cols, **{c: pa.array(v, types[c]) for c, v in out.items()}})
                 at += len(texts)
 
     names = list(dict.fromkeys([*keep, text_col]))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe
+from strophe.llm import bpe, quality, secrets
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.op2_bpe}
+    return {"op2_bpe": bpe.op2_bpe, "op3_quality": quality.op3_quality, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
