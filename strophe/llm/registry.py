@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, quality, secrets
+from strophe.llm import bpe, mixing, quality, secrets, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op2_bpe": bpe.op2_bpe, "op3_quality": quality.op3_quality, "op10_secrets": secrets.op10_secrets}
+    return {
+        "op2_bpe": bpe.op2_bpe,
+        "op3_quality": quality.op3_quality,
+        "op6_urls": url_filter.op6_urls,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_sharding": sharding.op9_sharding,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
