@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, mixing, quality, secrets, sharding, url_filter
+from strophe.llm import bpe, fingerprints, mixing, quality, secrets, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op6_urls": url_filter.op6_urls,
