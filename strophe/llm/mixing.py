@@ -60,7 +60,7 @@ def arrange(docs: DataFrame, keep: list[str], text_col: str, source_col: str, se
     sizes = {r["source"]: r["n"] for r in found}
     names = [*target_table(sizes)]
     most_rows = max((r["rows"] for r in found), default=1)
-    pieces = max(1, most_rows // 2000)  # of the hash's range: about 2,000 documents of the largest source in each
+    pieces = max(1, most_rows // 512)  # of the hash's range: about 512 documents of the largest source in each
     code = F.lit(None).cast("int")
     for i, s in enumerate(names):
         code = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)).otherwise(code) if len(names) <= 64 else code
