@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, fingerprints, mixing, quality, secrets, sharding, url_filter
+from strophe.llm import bpe, embedding_dedup, fingerprints, mixing, quality, secrets, sharding, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
+        "op5_embeddings": embedding_dedup.op5_embeddings,
         "op6_urls": url_filter.op6_urls,
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embeddings": embedding_dedup.OP5_SQL}
