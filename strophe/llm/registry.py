@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, embedding_dedup, fingerprints, mixing, quality, secrets, sharding, url_filter
+from strophe.llm import bpe, embedding_dedup, fingerprints, minhash_dedup, mixing, quality, secrets, sharding, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op5_embeddings": embedding_dedup.op5_embeddings,
         "op6_urls": url_filter.op6_urls,
+        "op7_near_duplicates": minhash_dedup.op7_near_duplicates,
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_secrets": secrets.op10_secrets,
