@@ -373,16 +373,18 @@ def decode_documents(tokens: DataFrame, path: str, ids_col: str = "ids", keep: l
     return tokens.select(*keep, ids_col).mapInArrow(run, f"{schema}{', ' * bool(schema)}text string")
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, lossless.
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass: ``keep`` (doc_id), n_tokens, ids_sha256, decoded_sha256, lossless.
 
     ``ids_sha256`` is of the decimal ids joined by commas, ``decoded_sha256`` of the decoded text in
-    UTF-8; ``lossless`` says whether the decoded text is the text (null: the empty text).
+    UTF-8; ``lossless`` says whether the decoded text is the text (null: the empty text). With
+    ``with_ids`` also ``ids array<int>``.
     """
+    keep = ["doc_id"] if keep is None else keep
 
     def make(texts: list[str]) -> dict:
         bpe = load(path)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "lossless": []}
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "lossless": []} | ({"ids": []} if with_ids else {})
         cuts = [bpe.cut(t) for t in texts]
         known, shown, raw = bpe.learn(cuts), bpe.shown_of, bpe.bytes_of
         for text, c in zip(texts, cuts, strict=True):
@@ -392,10 +394,13 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             out["ids_sha256"].append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             out["lossless"].append(decoded == text)
+            if with_ids:
+                out["ids"].append(np.array(ids, np.int32))
         return out
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean", ["doc_id"], text_col)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
+    return map_texts(docs, make, schema, keep, text_col)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,26 @@ def mix(docs: DataFrame, keep: list[str], text_col: str = "text", source_col: st
     return stream, documents
 
 
+def mix_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Whole documents as the mix takes them: each row of ``docs`` taken / size times, to the nearest
+    whole number (halves up). A source's taken words are a stretch of its stream, so at most one
+    document of a source is rounded. Texts are shuffled once, to meet their numbers.
+    """
+    hashed = free_name(docs, "text_hash")
+    lean = docs.select(F.col(key), F.col(text_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(hashed))
+    took = mix(lean, [key, hashed], text_col, source_col, **options)[1]
+    copies = F.expr("(2 * taken + size) div (2 * size)")
+    took = took.where("size > 0 and taken > 0").select(F.col(key).alias("m_key"), F.col(hashed).alias("m_hash"), copies.alias("m_copies")).where("m_copies > 0")
+    # Rows repeated in full are told apart by a number; they are equal, so any of them may have any number.
+    took = took.withColumn("m_n", F.row_number().over(Window.partitionBy("m_key", "m_hash").orderBy(F.col("m_copies").desc())))
+    number = free_name(docs, "row_no")
+    full = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    full = full.withColumn(number, F.row_number().over(Window.partitionBy(key, hashed).orderBy(F.col(source_col))))
+    met = full.join(took, F.col(key).eqNullSafe(F.col("m_key")) & (F.col(hashed) == F.col("m_hash")) & (F.col(number) == F.col("m_n")))
+    repeat = free_name(met, "repeat")
+    return met.withColumn(repeat, F.explode(F.array_repeat(F.lit(0), F.col("m_copies").cast("int")))).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs, ["doc_id"], order=F.xxhash64("doc_id", F.lit(0)))[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, embedding_dedup, fingerprints, minhash_dedup, mixing, quality, secrets, sharding, url_filter
+from strophe.llm import bpe, embedding_dedup, fingerprints, minhash_dedup, mixing, quality, secrets, sharding, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_embeddings": embedding_dedup.op5_embeddings,
         "op6_urls": url_filter.op6_urls,
         "op7_near_duplicates": minhash_dedup.op7_near_duplicates,
