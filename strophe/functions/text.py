@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 KANJI = "一-鿿㐀-䶿々〆ヶ"
 KANA = "ぁ-ゖァ-ヺー"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else html.unescape(s))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from strophe.functions.text import fold, norm_title
 
@@ -39,7 +40,7 @@ def filter_kind(themes: DataFrame, kind: str | None, keys: list[str] = ()) -> Da
     return themes.join(some, list(keys)).where(~F.coalesce(F.col("_any"), F.lit(False)) | (F.col("kind") == kind)).drop("_any")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two strings (Ratcliff-Obershelp)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -82,9 +82,9 @@ def q_islands(spark, sf_dir):
 
 @query(f"""{UNITS_SQL}, n AS (SELECT *, row_number() OVER w - 1 AS i, start - lag(start) OVER w AS gap, count(*) OVER (PARTITION BY song_id) AS n FROM u WINDOW w AS (PARTITION BY song_id ORDER BY us, event_id)),
 m AS (SELECT song_id, list_sort(list(gap) FILTER (WHERE gap <= 43200)) AS g FROM n GROUP BY song_id),
-a AS (SELECT n.*, coalesce(g[len(g) // 2 + 1], 0.2) AS med, min(CASE WHEN n >= 3 AND i >= greatest(1, n - greatest(2, floor(n * 0.3))) AND gap > 43200 THEN i END) OVER (PARTITION BY song_id) AS at FROM n JOIN m USING (song_id)),
-b AS (SELECT *, max(CASE WHEN i = at - 1 THEN start END) OVER (PARTITION BY song_id) AS anchor FROM a)
-SELECT song_id, event_id, CASE WHEN i >= at THEN {MS.format("anchor + med * (i - at + 1)")} ELSE start END AS start, coalesce(i >= at, false) AS smear_fixed FROM b""")
+a AS (SELECT n.*, coalesce(g[len(g) // 2 + 1], 0.2) AS med, min(CASE WHEN n >= 3 AND i >= greatest(1, n - greatest(2, floor(n * 0.3))) AND gap > 43200 THEN i END) OVER (PARTITION BY song_id) AS pos FROM n JOIN m USING (song_id)),
+b AS (SELECT *, max(CASE WHEN i = pos - 1 THEN start END) OVER (PARTITION BY song_id) AS anchor FROM a)
+SELECT song_id, event_id, CASE WHEN i >= pos THEN {MS.format("anchor + med * (i - pos + 1)")} ELSE start END AS start, coalesce(i >= pos, false) AS smear_fixed FROM b""")
 def q_smear(spark, sf_dir):
     return timeline.fix_tail_smear(units(spark, sf_dir), ["song_id"], ["us", "event_id"], 43200.0).select("song_id", "event_id", "start", "smear_fixed")
 
@@ -130,7 +130,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPANS_SQL = """WITH d AS (SELECT o_custkey AS song_id, o_orderkey, o_orderdate, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS day FROM orders),
-s AS (SELECT song_id, row_number() OVER w - 1 AS seg_no, day AS ref_start, least(coalesce(lead(day) OVER w, day + 30), day + 60) AS ref_end, 100.0::DOUBLE AS "offset", CAST(o_orderkey % 400 AS INT) AS support FROM d WINDOW w AS (PARTITION BY song_id ORDER BY o_orderdate, o_orderkey))"""
+s AS (SELECT song_id, CAST(row_number() OVER w - 1 AS INT) AS seg_no, day AS ref_start, least(coalesce(lead(day) OVER w, day + 30), day + 60) AS ref_end, 100.0::DOUBLE AS "offset", CAST(o_orderkey % 400 AS INT) AS support FROM d WINDOW w AS (PARTITION BY song_id ORDER BY o_orderdate, o_orderkey))"""
 
 
 def times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +333,7 @@ def q_filter_fallback(spark, sf_dir):
     return resolve.filter_kind(rows, "OP", ["grp"])
 
 
-@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(o_totalprice - 200000), o_orderkey) AS choice FROM orders WHERE o_totalprice BETWEEN 60000 AND 400000""")
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY abs(o_totalprice - 200000), o_orderkey) AS INT) AS choice FROM orders WHERE o_totalprice BETWEEN 60000 AND 400000""")
 def q_plausible(spark, sf_dir):
     c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("duration"))
     return resolve.plausible(c, 60000, 400000, 200000, ["o_custkey"]).select("o_custkey", "o_orderkey", "choice")
@@ -391,7 +391,7 @@ def q_verify_tracks(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT c_custkey AS song_id, CAST(c_custkey % 200 AS DOUBLE) / 2 AS duration FROM customer), w AS (SELECT song_id, duration, unnest(generate_series(0, greatest(CAST(ceil(duration / 18) AS INT) - 1, 0))) AS k FROM s)
-SELECT song_id, CAST(k AS INT) AS window_no, k * 18.0 AS "from", least(k * 18.0 + 20, duration) AS "to" FROM w WHERE least(k * 18.0 + 20, duration) - k * 18.0 >= 0.5""")
+SELECT song_id, CAST(k AS INT) AS window_no, CAST(k * 18 AS DOUBLE) AS "from", least(CAST(k * 18 + 20 AS DOUBLE), duration) AS "to" FROM w WHERE least(CAST(k * 18 + 20 AS DOUBLE), duration) - k * 18 >= 0.5""")
 def q_emission_windows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("song_id"), ((F.col("c_custkey") % 200).cast("double") / 2).alias("duration"))
     return timeline.emission_windows(c).select("song_id", "window_no", "from", "to")
