@@ -13,11 +13,13 @@ frequency ln(1 + n / max(df, floor * n)): shingles in at most ``floor`` of all d
    Jaccard similarity. Two documents of similarity 0.8 share a band with chance 0.9998.
 3. *Candidates.* Documents with equal word sequences are one node. In every bucket the least node is
    the anchor and is compared with all others: pairs linear in the bucket. Linked nodes become
-   components. Buckets that still hold several components get a second anchor, and after that
-   each pair of the bucket's nodes of *different* components that is still open is compared, so
-   nothing is capped; pairs within a component are never made.
-4. *Verification.* A candidate pair's samples must agree in half at least (a pair of similarity 0.8
-   fails that with chance 1e-5); then the weighted Jaccard similarity is computed over the whole texts.
+   components. In buckets of up to ``small`` nodes every pair of *different* components is compared too
+   (at most ``small`` / 2 pairs a node). Nodes that larger buckets connect form clusters; a cluster
+   that holds several components is cut into blocks, and every two blocks meet in one group of bounded
+   size whose similarities are one matrix product and whose result is a link a node, never the pairs.
+   So no bucket is capped and no pair of a bucket is left out.
+4. *Verification.* The weighted Jaccard similarity over the whole texts decides. Single pairs are first
+   asked to agree in half their samples at least (a pair of similarity 0.8 fails that with chance 1e-5).
 
 Edge cases: texts without a word (null: empty) are equal only if the texts are equal; repeated rows
 and equal texts are in one class; documents with null ids can be members, and a class is named by its
@@ -41,6 +43,7 @@ WORDS, THRESHOLD, FLOOR = 5, 0.8, 0.001
 BANDS, ROWS = 12, 3
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 TABLE_BITS = 12
+SMALL, BLOCK, COLUMNS = 32, 256, 4096
 
 
 @lru_cache(1)
@@ -265,26 +268,109 @@ def _verify(pairs: DataFrame, sigs: DataFrame, feats: DataFrame, threshold: floa
     b = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sb"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     near = pairs.join(a, "u").join(b, "v").where(agree * 2 >= BANDS * ROWS).select("u", "v")
-    fa = feats.select(F.col("node").alias("u"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    fb = feats.select(F.col("node").alias("v"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+    fa = feats.select(F.col("node").alias("u"), F.col("h").alias("ha"), F.col("tf").alias("ta"), F.col("idf").alias("ia"))
+    fb = feats.select(F.col("node").alias("v"), F.col("h").alias("hb"), F.col("tf").alias("tb"), F.col("idf").alias("ib"))
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c) for c in ("ha", "wa", "hb", "wb")]
+            cols = [batch.column(c) for c in ("ha", "ta", "ia", "hb", "tb", "ib")]
             flat = [c.values.to_numpy(zero_copy_only=False) for c in cols]
             ends = [c.offsets.to_numpy() for c in cols]
             keep = []
             for i in range(batch.num_rows):
-                ha, wa, hb, wb = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+                ha, ta, ia, hb, tb, ib = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+                wa, wb = ta * ia, tb * ib
                 _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
                 low = np.minimum(wa[x], wb[y]).sum()
                 keep.append(low >= threshold * (wa.sum() + wb.sum() - low) * (1 - 1e-12))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = near.join(fa, "u").join(fb, "v").select("u", "v", "ha", "wa", "hb", "wb")
+    rows = near.join(fa, "u").join(fb, "v").select("u", "v", "ha", "ta", "ia", "hb", "tb", "ib")
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
+def link_block(node, side, component, h, tf, idf, ends, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks' documents of different components: (node, least node of what it links to).
+
+    A shingle of count c is c features of its weight, so that the weight two documents share is a
+    product of 0-1 matrices, made a range of columns at a time. Rows of side 0 come first; with one side
+    alone, the block meets itself.
+    """
+    n, base = len(node), int((side == 0).sum())
+    none = np.zeros(0, np.int64)
+    if not base or len(np.unique(component)) < 2:
+        return none, none
+    doc = np.repeat(np.arange(n), np.diff(ends))
+    total = np.bincount(doc, tf * idf, n)
+    f_doc, f_idf = np.repeat(doc, tf), np.repeat(idf, tf)
+    level = np.arange(len(f_doc)) - np.repeat(np.cumsum(tf) - tf, tf)
+    with np.errstate(over="ignore"):
+        key = mix64(np.repeat(h.view(np.uint64), tf) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, column, count = np.unique(key, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    f_doc, f_idf = f_doc[shared], f_idf[shared]
+    left, right = (slice(0, base), slice(base, n)) if base < n else (slice(0, n), slice(0, n))
+    both = np.zeros((left.stop - left.start, right.stop - right.start))
+    order = np.argsort(column, kind="stable")
+    f_doc, f_idf, column = f_doc[order], f_idf[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        m = np.zeros((n, COLUMNS))
+        weight = np.zeros(COLUMNS)
+        m[f_doc[part], column[part] - at] = 1
+        weight[column[part] - at] = f_idf[part]
+        both += (m[left] * weight) @ m[right].T
+    near = both >= threshold * (total[left][:, None] + total[right][None, :] - both) * (1 - 1e-12)
+    near &= component[left][:, None] != component[right][None, :]
+    i, j = np.nonzero(near)
+    if not len(i):
+        return none, none
+    i, j = i + left.start, j + right.start
+    least = node.copy()
+    while True:
+        low = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        if (new == least).all():
+            break
+        least = new
+    moved = least != node
+    return node[moved], least[moved]
+
+
+def _link_blocks(threshold: float):
+    """Rows sorted by group -> (u, v) links; a group is held whole, it is two blocks at most."""
+
+    def run(batches):
+        held: list = []
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            one = lambda c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
+            lists = [one(c) for c in ("h", "tf", "idf")]
+            ends = lists[0].offsets.to_numpy()
+            flat = [x.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for x in lists]
+            u, v = link_block(*(one(c).to_numpy() for c in ("node", "side", "component")), *flat, ends - ends[0], threshold)
+            return pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1].column("g")[0].as_py() != g[a]:
+                    yield flush()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
+
+    return run
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """A row per document: key, xt (hash of its text), class_key (least key of its class), keeper_xt."""
     spark = docs.sparkSession
@@ -304,43 +390,40 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", thresh
 
     def features(texts: list[str]) -> dict:
         h, counts, ends, _ = shingles(texts)
-        w = shared.value.of(h) * counts
+        idf_of, tf = shared.value.of(h), counts.astype(np.int32)
         cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return {"h": [h[c].view(np.int64) for c in cut], "w": [w[c] for c in cut]}
+        return {"h": [h[c].view(np.int64) for c in cut], "tf": [tf[c] for c in cut], "idf": [idf_of[c] for c in cut]}
 
-    feats = materialize(map_texts(met, features, "node bigint, h array<bigint>, w array<double>", ["node"]).dropDuplicates(["node"]))
+    feats = materialize(map_texts(met, features, "node bigint, h array<bigint>, tf array<int>, idf array<double>", ["node"]).dropDuplicates(["node"]))
     sigs = nodes.select("node", "sig")
     pairs = entries.where("node <> anchor").select(F.col("anchor").alias("u"), F.col("node").alias("v")).distinct()
     links = materialize(_verify(pairs, sigs, feats, threshold))
     comp = components(links)
 
-    def placed(rows: DataFrame) -> DataFrame:
-        """Entries with their component, of buckets that hold several."""
-        c = rows.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        many = c.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        return materialize(c.join(many, "bucket").select("bucket", "node", "anchor", "component"))
-
-    # Buckets of two are done: their one pair has been compared. Second anchor: the least node that is
-    # not in the first one's component.
-    rest = placed(entries.where("size > 2"))
-    heads = rest.where("node = anchor").select("bucket", F.col("component").alias("done"))
-    open_ = rest.join(heads, "bucket").where("node <> anchor")
-    second = open_.where("component <> done").groupBy("bucket").agg(F.min("node").alias("next"))
-    open_ = materialize(open_.join(second, "bucket"))
-    chosen = open_.where("node = next").select("bucket", F.col("component").alias("own"))
-    pairs = open_.join(chosen, "bucket").where("component <> own").select(F.least("next", "node").alias("u"), F.greatest("next", "node").alias("v")).distinct()
-    more = materialize(_verify(pairs, sigs, feats, threshold))
-    links = links.unionByName(more)
-    if more.limit(1).count():
-        comp = components(links)
-    # What is still open: pairs of different components, neither of them an anchor.
-    left = open_.where("node <> next").select("bucket", "node", "anchor")
-    left = placed(left)
-    a, b = left.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu")), left.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # Small buckets: the one pair of a bucket of two has been compared already.
+    few = with_component(entries.where(f"size > 2 and size <= {SMALL}").select("bucket", "node", "anchor"))
+    few = materialize(few)
+    a = few.where("node <> anchor").select("bucket", F.col("node").alias("u"), F.col("component").alias("cu"))
+    b = few.where("node <> anchor").select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
     pairs = a.join(b, "bucket").where("u < v and cu <> cv").select("u", "v").distinct()
-    last = materialize(_verify(pairs, sigs, feats, threshold))
-    if last.limit(1).count():
-        comp = components(links.unionByName(last))
+    links = links.unionByName(materialize(_verify(pairs, sigs, feats, threshold)))
+    # Large buckets: the clusters of nodes that they connect.
+    many = entries.where(f"size > {SMALL}").select(F.col("anchor").alias("u"), F.col("node").alias("v"))
+    cluster = components(many).withColumnRenamed("component", "cluster").withColumnRenamed("id", "node")
+    cluster = materialize(with_component(cluster))
+    open_ = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
+    rows = cluster.join(open_.select("cluster", blocks.alias("nb")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    meet = "transform(sequence(0, nb - 1), k -> struct(least(k, own) as i, greatest(k, own) as j, if(own > k, 1, 0) as side))"
+    rows = rows.select("node", "component", "cluster", F.explode(F.expr(meet)).alias("in"))
+    rows = rows.select("node", "component", F.xxhash64("cluster", "in.i", "in.j").alias("g"), "in.side")
+    rows = rows.join(feats, "node").select("g", "side", "node", "component", "h", "tf", "idf")
+    rows = rows.repartition("g").sortWithinPartitions("g", "side", "node")
+    links = links.unionByName(materialize(rows.mapInArrow(_link_blocks(threshold), "u bigint, v bigint")))
+    comp = components(links)
     named = nodes.select("node", "rep").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct(F.col("rep.key").isNull().alias("none"), F.col("rep.key").alias("key"), F.col("rep.xt").alias("xt"))).alias("keeper"))
     of_node = named.join(least, "component").select("node", "component", F.col("keeper.key").alias("class_key"), F.col("keeper.xt").alias("keeper_xt"))
