@@ -397,6 +397,106 @@ def q_emission_windows(spark, sf_dir):
     return timeline.emission_windows(c).select("song_id", "window_no", "from", "to")
 
 
+# Operators that SQL cannot express: run over whole tables; their results are tested against brute force.
+
+
+@query()
+def q_romaji_kana(spark, sf_dir):
+    from strophe.functions.kana import to_kana_udf
+
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.withColumn("kana", to_kana_udf("word"))
+
+
+@query()
+def q_sourced_lines(spark, sf_dir):
+    from strophe.functions.kana import sourced_line_udf
+
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    got = lines.withColumn("x", sourced_line_udf("line"))
+    return got.select("conv_id", "turn", "line_no", F.size("x.units").alias("n_units"), (F.array_join("x.cells", "") == F.col("line")).alias("whole"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as emissions: 64 tokens, a song per label, the vectors in order as frames."""
+    e = table(spark, sf_dir, "embeddings")
+    lp = scalars.log_softmax(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 8))
+    return e.select(F.col("label").alias("song_id"), F.col("vec_id").cast("int").alias("frame"), lp.alias("lp"))
+
+
+TOKENS = {chr(0x3041 + i): i + 1 for i in range(60)}  # sixty kana as the vocabulary
+
+
+def sung_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("song_id")).agg(F.lit(1).alias("line_no"), F.array(*[F.lit(c) for c in "かさたなはま"]).alias("units"))
+
+
+@query()
+def q_viterbi(spark, sf_dir):
+    from strophe.operators.acoustic import align_lines
+
+    return align_lines(frames(spark, sf_dir), sung_lines(spark, sf_dir), TOKENS, ["song_id"])
+
+
+@query()
+def q_viterbi_song(spark, sf_dir):
+    from strophe.operators.acoustic import align_song
+
+    return align_song(frames(spark, sf_dir), sung_lines(spark, sf_dir), TOKENS, ["song_id"])
+
+
+@query()
+def q_ctc_select(spark, sf_dir):
+    from strophe.operators.acoustic import select_readings
+
+    word = lambda s, *r: F.struct(F.lit(s).alias("surface"), F.array(*[F.lit(x) for x in r]).alias("readings"))
+    lines = sung_lines(spark, sf_dir).withColumn("words", F.array(word("a", "かさ", "さか"), word("b", "た"), word("c", "な", "はな")))
+    return select_readings(frames(spark, sf_dir), lines, TOKENS, ["song_id"])
+
+
+@query()
+def q_resolve_overlaps(spark, sf_dir):
+    return matching.resolve_overlaps(_rival_segments(spark, sf_dir), ["song_id"])
+
+
+@query()
+def q_chain(spark, sf_dir):
+    return matching.best_chain(_rival_segments(spark, sf_dir), ["song_id"])
+
+
+def _rival_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    day = F.expr("cast(datediff(cast(o_orderdate as date), date'1992-01-01') as double)")
+    k = F.col("o_orderkey")
+    return o.select(F.col("o_custkey").alias("song_id"), k.alias("ord"), day.alias("ref_start"), (day + 5 + k % 90).alias("ref_end"), (day + k % 7).alias("ep_start"), (day + k % 7 + 5 + k % 90).alias("ep_end"), (k % 7).cast("double").alias("offset"), (k % 997).cast("int").alias("support"))
+
+
+@query()
+def q_match_timings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    times = docs.where("line_no % 3 <> 1").select("doc_id", F.col("line_no").cast("double").alias("t"), "text")
+    return resolve.match_timings(docs, times, ["doc_id"])
+
+
+@query()
+def q_segment(spark, sf_dir):
+    from strophe.operators import lexicon
+
+    text_ = F.concat_ws(" ", F.lit("待ってください"), (F.col("conv_id") % 40).cast("string").alias("n"), F.lit("時"), "role")
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", text_.alias("text"))
+    rows = [(s, r, "待つ", "v", 3, 0, 0, int(f != "base"), f) for s, r, f in lexicon.inflect("待つ", "まつ", "godan")] + [("時", "じ", "時", "ctr", 1, 0, 0, 0, "base")]
+    return lexicon.segment_lines(lines, lexicon.spark_lexicon(spark, rows))
+
+
+@query()
+def q_locate(spark, sf_dir):
+    """Peaks of a minute raster against the same peaks moved by 300 frames: the splice map of each song."""
+    p = points(spark, sf_dir)
+    moved = p.withColumn("t", F.col("t") + 300)
+    got = matching.match_hashes(matching.fan_out(p, ["song_id"]), matching.fan_out(moved, ["song_id"]), ["song_id"])
+    return matching.resolve_overlaps(matching.segments_of(got, ["song_id"], max_gap=4000.0), ["song_id"])
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: durations of every user's events, summed up."""
     d = timeline.post_process(units(spark, sf_dir).withColumn("line_no", F.expr("us div 86400000000")), ["song_id"], ["song_id", "line_no"], ["us", "event_id"], HOLD)
