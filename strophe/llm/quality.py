@@ -7,8 +7,8 @@ of its features' vectors, and a softmax layer over two classes turns the mean in
 punctuation are kept: they tell quality.
 
 Training: a bounded sample of labelled rows (``sample_rows``; the rows of least hash of their key)
-is reduced on the executors to bucket counts, at most ``2**bits`` of each row, and the model is fit
-on the driver. Scoring covers whole texts: as the softmax is linear in the mean, each bucket's
+is reduced on the executors to bucket counts, at most ``2**bits`` of each row, and one task fits the
+model to them; the driver gets the model alone. Scoring covers whole texts: as the softmax is linear in the mean, each bucket's
 vector is first multiplied into one log-odds number, and a text's log-odds are the mean over its
 features plus a bias.
 
@@ -20,6 +20,7 @@ half is dropped); with no labels, or labels of one class only, the model says wh
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,15 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
         pairs = [np.unique(features(codes_of(t), bits), return_counts=True) for t in texts]
         return {"b": [p[0].astype(np.int32) for p in pairs], "n": [p[1].astype(np.int32) for p in pairs]}
 
-    got = map_texts(rows, make, "doc_id bigint, y int, b array<int>, n array<int>", ["doc_id", "y"]).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    sizes = [len(x) for x in got.column("b")]
-    ends = np.cumsum(sizes)
-    b = np.concatenate([c.values.to_numpy() for c in got.column("b").chunks] or [np.zeros(0, np.int32)])
-    n = np.concatenate([c.values.to_numpy() for c in got.column("n").chunks] or [np.zeros(0, np.int32)])
-    y = got.column("y").to_pylist()
-    data = [(b[ends[k] - sizes[k] : ends[k]], n[ends[k] - sizes[k] : ends[k]], y[k]) for k in order]
-    return train(data, bits, **options)
+    def learn(batches):
+        """One task learns from the bounded sample: what comes back is the model alone."""
+        data = []
+        for batch in batches:
+            y, key = batch.column("y").to_pylist(), batch.column("doc_id").to_pylist()
+            lists = [batch.column(c) for c in ("b", "n")]
+            ends = lists[0].offsets.to_numpy()
+            flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            data += [(key[i], y[i], *(x[ends[i] : ends[i + 1]].copy() for x in flat)) for i in range(len(y))]
+        data.sort(key=lambda d: (d[0], d[1], len(d[2]), d[3].tobytes()))
+        weights, bias = train([(b, n, y) for _, y, b, n in data], bits, **options)
+        yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
+
+    sample = map_texts(rows, make, "doc_id bigint, y int, b array<int>, n array<int>", ["doc_id", "y"])
+    model = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
 def log_odds(texts: list[str], weights: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
