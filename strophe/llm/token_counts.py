@@ -118,7 +118,7 @@ def attribute_tokens(docs: DataFrame, path: str, key: str = "doc_id", text_col:
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     lean = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"), *([sections.alias("sections")] if sections is not None else []))
-    kind = docs.schema[key].dataType
+    kind, own_sections = docs.schema[key].dataType, sections is not None
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def attribute_tokens(docs: DataFrame, path: str, key: str = "doc_id", text_col:
         bpe = load(path)
         for batch in batches:
             keys = batch.column("key")
-            given = batch.column("sections") if sections is not None else None
+            given = batch.column("sections") if own_sections else None
             at: list[int] = []
             cols: list[list] = [[] for _ in range(6)]
 

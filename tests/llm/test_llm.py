@@ -276,7 +276,7 @@ def test_reputation(spark):
     rows += [(200, "http://bad.site.com/en/"), (201, "http://good.site.com/en/"), (202, "http://new.site.com/en/"), (203, "http://x.net/")]
     got = collected(url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string")), "page_id")
     assert got[200].verdict == "block" and got[201].verdict == got[202].verdict == got[203].verdict == "allow"
-    assert got[200].bound > 0.8 and got[201].bound < got[202].bound < got[200].bound
+    assert got[200].bound > 0.8 and max(got[201].bound, got[202].bound) < 0.2
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
