@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import components, map_texts, materialize, mix64
+from strophe.llm.common import components, free_name, map_texts, materialize, mix64
 
 WORDS, THRESHOLD, FLOOR = 5, 0.8, 0.001
 BANDS, ROWS = 12, 3
@@ -434,11 +434,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text", **opt
     """``docs`` with one row of each class: the one of least key (then text); columns as they were."""
     found = classes(docs, key, text_col, **options)
     mine = F.col(key).eqNullSafe(F.col("class_key")) & (F.col("xt") == F.col("keeper_xt"))
-    keepers = found.where(mine).select(F.col(key).alias("_key"), F.col("xt").alias("_xt")).distinct()
-    text = docs.withColumn("_xt_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = text.join(keepers, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_xt_own") == F.col("_xt")))
-    order = Window.partitionBy("_key", "_xt").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    # One key for both the join and the numbering after it: the texts are shuffled once.
+    join, xt, n = (free_name(docs, c) for c in ("_join", "_xt", "_n"))
+    keepers = found.where(mine).select(F.xxhash64(key, "xt").alias(join)).distinct()
+    rows = docs.withColumn(xt, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn(join, F.xxhash64(key, xt))
+    order = Window.partitionBy(join, key, xt).orderBy(F.lit(0))  # rows repeated in full: any one stays
+    return rows.join(keepers, join).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

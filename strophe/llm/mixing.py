@@ -155,15 +155,16 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     lean = docs.select(F.col(key), F.col(text_col), F.col(source_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(hashed))
     took = mix(lean, [key, hashed], text_col, source_col, **options)[1]
     copies = F.expr("(2 * taken + size) div (2 * size)")
-    took = took.where("size > 0 and taken > 0").select(F.col(key).alias("m_key"), F.col(hashed).alias("m_hash"), copies.alias("m_copies")).where("m_copies > 0")
-    # Rows repeated in full are told apart by a number; they are equal, so any of them may have any number.
-    took = took.withColumn("m_n", F.row_number().over(Window.partitionBy("m_key", "m_hash").orderBy(F.col("m_copies").desc())))
-    number = free_name(docs, "row_no")
-    full = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    full = full.withColumn(number, F.row_number().over(Window.partitionBy(key, hashed).orderBy(F.col(source_col))))
-    met = full.join(took, F.col(key).eqNullSafe(F.col("m_key")) & (F.col(hashed) == F.col("m_hash")) & (F.col(number) == F.col("m_n")))
+    # One key for both the join and the numbering after it: the texts are shuffled once. Rows repeated in
+    # full are equal, so any of them may have any of their numbers of copies.
+    join, number, lists = (free_name(docs, c) for c in ("row_key", "row_no", "copies"))
+    took = took.where("size > 0").select(F.xxhash64(key, hashed).alias(join), copies.cast("int").alias("m_copies"))
+    took = took.groupBy(join).agg(F.sort_array(F.collect_list("m_copies"), asc=False).alias(lists)).where(F.get(lists, F.lit(0)) > 0)
+    full = docs.withColumn(join, F.xxhash64(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    met = full.join(took, join)
+    met = met.withColumn(number, F.row_number().over(Window.partitionBy(join).orderBy(F.col(source_col))) - 1)
     repeat = free_name(met, "repeat")
-    return met.withColumn(repeat, F.explode(F.array_repeat(F.lit(0), F.col("m_copies").cast("int")))).select(*docs.columns)
+    return met.withColumn(repeat, F.explode(F.array_repeat(F.lit(0), F.coalesce(F.get(lists, F.col(number)), F.lit(0))))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

