@@ -169,4 +169,23 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, ["doc_id"], order=F.xxhash64("doc_id", F.lit(0)))[1]
+    # 60 bits of an MD5 as the hashed order: a function that SQL engines share.
+    order = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":mix"))), 1, 15), 16, 10).cast("bigint") * 8
+    return mix(docs, ["doc_id"], order=order)[1]
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+f AS (SELECT *, row_number() OVER (ORDER BY 2.0 * n / weight, source IS NULL, encode(source)) AS k FROM w),
+p AS (SELECT *, (SELECT 1.5::DOUBLE * sum(n) FROM s) - coalesce(sum(2 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM f),
+x AS (SELECT min(k) AS k FROM p WHERE 2 * n > rest / open_weight * weight),
+l AS (SELECT rest / open_weight AS level FROM p WHERE k = (SELECT k FROM x)),
+t AS (SELECT source, n, CASE WHEN p.k < coalesce((SELECT k FROM x), 1e18) THEN CAST(2 * n AS DOUBLE) ELSE (SELECT level FROM l) * weight END AS target FROM p),
+o AS (SELECT d.*, t.n, t.target, CAST(round_even(t.target, 0) AS BIGINT) AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN n = 0 THEN 0 ELSE goal // n * size + greatest(0, least(start + size, goal % n) - start) END AS BIGINT) AS taken FROM o
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embeddings": embedding_dedup.OP5_SQL}
+    return {"op5_embeddings": embedding_dedup.OP5_SQL, "op6_urls": url_filter.OP6_SQL, "op8_mixing": mixing.OP8_SQL}

@@ -111,3 +111,28 @@ def judge(pages: DataFrame, key: str = "page_id", url_col: str = "url", rules=RU
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("bound")
+
+
+OP6_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM c),
+v AS (SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+  regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM r),
+h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad FROM v GROUP BY host),
+dm AS (SELECT domain AS parent, n, bad FROM h WHERE n > 0), sm AS (SELECT suffix AS parent, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix, domain HAVING sum(n) > 0),
+da AS (SELECT parent, sum(n) AS n, sum(bad) AS bad, CAST(count(*) AS DOUBLE) AS k, sum(bad * bad / n) AS square FROM dm GROUP BY parent),
+sa AS (SELECT parent, sum(n) AS n, sum(bad) AS bad, CAST(count(*) AS DOUBLE) AS k, sum(bad * bad / n) AS square FROM sm GROUP BY parent),
+wa AS (SELECT sum(n) AS n, sum(bad) AS bad, CAST(count(*) AS DOUBLE) AS k, sum(bad * bad / n) AS square FROM sa),
+every AS (SELECT 'd' AS level, * FROM da UNION ALL SELECT 's', * FROM sa UNION ALL SELECT 'w', '', * FROM wa WHERE n > 0),
+m AS (SELECT *, bad / n AS mean, square / n - (bad / n) * (bad / n) - (bad / n) * (1 - bad / n) * k / n * (k - 1) / k AS spread FROM every),
+st AS (SELECT level, parent, n, bad, CASE WHEN k > 1 THEN CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1), 1000) ELSE 1000 END ELSE 1 END AS strength FROM m),
+w AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS rate, coalesce(max(strength), 1) AS strength FROM st WHERE level = 'w'),
+s AS (SELECT x.suffix, (coalesce(st.bad, 0) + w.rate * w.strength) / (coalesce(st.n, 0) + w.strength) AS rate, coalesce(st.strength, 1) AS strength FROM (SELECT DISTINCT suffix FROM h) x CROSS JOIN w LEFT JOIN st ON st.level = 's' AND st.parent = x.suffix),
+d AS (SELECT x.domain, (coalesce(st.bad, 0) + s.rate * s.strength) / (coalesce(st.n, 0) + s.strength) AS rate, coalesce(st.strength, 1) AS strength FROM (SELECT DISTINCT domain, suffix FROM h) x JOIN s USING (suffix) LEFT JOIN st ON st.level = 'd' AND st.parent = x.domain),
+ab AS (SELECT h.host, h.bad + d.rate * d.strength AS a, h.n - h.bad + (1 - d.rate) * d.strength AS b FROM h JOIN d USING (domain))
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN a / (a + b) - 1.6449 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN ab ON ab.host = v.host
+"""
