@@ -59,25 +59,20 @@ def shuffle_width(spark: SparkSession) -> int:
 def range_bucket(df: DataFrame, key: str, rows_each: int = 4000) -> Column:
     """A bucket number that rises with the integer column ``key``, about ``rows_each`` rows in each.
 
-    The boundaries are quantiles (a bounded list on the driver: 10,000 at most); nulls come first.
+    The boundaries are quantiles (a bounded list on the driver: 50,000 at most); nulls come first.
     The result of whatever uses the buckets must not hang on where the boundaries lie.
     """
     n = df.count()
-    parts = int(min(10_000, max(1, n // rows_each)))
+    parts = int(min(50_000, max(1, n // rows_each)))
     cuts: list[int] = []
     if parts > 1:
-        found = df.agg(F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
+        found = df.agg(F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
         cuts = sorted({int(x) for x in found})
-    if not cuts:
-        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 200 else F.from_json(F.lit(str(cuts)), "array<bigint>")
-    # The cuts are sorted, so the number of cuts not above the key is the bucket.
-    inside = F.aggregate(bounds, F.lit(0), lambda acc, b: acc + (b <= F.col(key)).cast("int"))
-    if len(cuts) >= 200:  # square-root search: coarse cuts, then the fine ones between two of them
-        step = int(len(cuts) ** 0.5) + 1
-        coarse = F.from_json(F.lit(str(cuts[::step])), "array<bigint>")
-        at = F.greatest(F.aggregate(coarse, F.lit(0), lambda acc, b: acc + (b <= F.col(key)).cast("int")) - 1, F.lit(0)) * step
-        inside = at + F.aggregate(F.slice(bounds, at + 1, F.lit(step)), F.lit(0), lambda acc, b: acc + (b <= F.col(key)).cast("int"))
+    bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    # Binary search: the number of cuts that are not above the key.
+    higher = lambda acc, s: F.when((acc + s <= len(cuts)) & (F.get(bounds, acc + s - 1) <= F.col(key)), acc + s).otherwise(acc)
+    inside = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), higher) if cuts else F.lit(0)
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(inside)
 
 

@@ -134,7 +134,7 @@ def with_next(df: DataFrame, key: str, value: str, name: str, rows_each: int = 1
     least = cut.groupBy(F.col(bucket).alias(low)).agg(F.min(key).alias(lowest))
     firsts = cut.join(F.broadcast(least), F.col(key).eqNullSafe(F.col(lowest)) & (F.col(bucket) == F.col(low)))
     firsts = firsts.groupBy(bucket).agg(F.min(value).alias("head"))
-    whole = Window.orderBy(bucket)  # a row per range: 10,001 at most
+    whole = Window.orderBy(bucket)  # a row per range: 50,001 at most
     firsts = firsts.select((F.col(bucket)).alias(bucket), F.coalesce(F.lead("head").over(whole), F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(after))
     order = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), value)
     led = cut.withColumn(name, F.lead(value).over(order)).withColumn(last, F.lead(F.lit(1)).over(order).isNull())

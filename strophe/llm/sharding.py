@@ -66,7 +66,7 @@ def number_rows(df: DataFrame, key: str, ties: list[str], name: str = "row_numbe
     bucket, off, within = (free_name(df, c) for c in ("_bucket", "_offset", "_within"))
     cut = df.withColumn(bucket, range_bucket(df, key))
     order = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), *ties)
-    # One row per bucket, 10,001 at most: broadcast.
+    # One row per bucket, 50,001 at most: broadcast.
     sizes = running_offsets(cut.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), [bucket], "n", off).select(bucket, off)
     numbered = cut.withColumn(within, F.row_number().over(order).cast("bigint") - 1)
     return numbered.join(F.broadcast(sizes), bucket).withColumn(name, F.col(off) + F.col(within)).drop(bucket, off, within)
