@@ -1 +1 @@
-
+"""Operators over ordered tables."""

@@ -294,3 +294,33 @@ def test_peaks(spark):
     df = spark.createDataFrame([("s", f, t, float(s[f, t])) for f in range(40) for t in range(30)], "song_id string, f int, t int, value double")
     want = {(f, t) for f in range(40) for t in range(30) if s[f, t] == s[max(0, f - 10) : f + 11, max(0, t - 4) : t + 5].max() and s[f, t] > np.percentile(s, 82)}
     assert {(r.f, r.t) for r in matching.peaks(df, ["song_id"]).collect()} == want
+
+
+def test_schemas_parse(spark):
+    from pyspark.sql.types import StructType
+
+    from strophe import schemas
+
+    found = {k: StructType.fromDDL(v) for k, v in vars(schemas).items() if k.isupper()}
+    assert len(found) > 20 and all(len(s) > 1 for s in found.values())
+
+
+def test_theme_payloads(spark):
+    js = '{"anime":[{"name":"S","year":2020,"animethemes":[{"type":"OP","sequence":"2","song":{"title":"T","artists":[{"name":"A"},{"name":"B"}]}},{"type":"ED","song":{"title":""}}]}]}'
+    got = readers.themes_from_catalogue(spark.createDataFrame([(js,), (None,), ("{}",)], "payload string")).collect()
+    assert [(r.kind, r.sequence, r.title, r.artist, r.series, r.year) for r in got] == [("OP", "2", "T", "A, B", "S", 2020)]
+    xml = '<anime id="1" name="A &amp; B"><vintage>2001-04</vintage><info type="Opening Theme">#2: "Song" by X (eps 1-3)</info><info type="Ending Theme">"End" by Y</info></anime>'
+    got = readers.themes_from_xml(spark.createDataFrame([(xml,), ("",)], "payload string")).orderBy("ord").collect()
+    assert [(r.kind, r.sequence, r.title, r.artist) for r in got] == [("OP", "2", "Song", "X (eps 1-3)"), ("ED", "", "End", "Y")] and got[0].series == "A & B" and got[0].year == 2001
+    lists = '{"openings":["#1: \\"One\\" by P","\\"Two\\" by Q"],"endings":[]}'
+    got = readers.themes_from_lists(spark.createDataFrame([("S", 1, lists), ("S", 1, None)], "series string, year int, payload string")).orderBy("ord").collect()
+    assert [(r.kind, r.sequence, r.title, r.artist) for r in got] == [("OP", "1", "One", "P"), ("OP", "2", "Two", "Q")]
+
+
+def test_states_and_names(spark):
+    df = spark.createDataFrame([('{"schema_version":2,"title":"t"}',), ('{"schema_version":1}',), ("nonsense",)], "payload string")
+    assert [r.status for r in readers.state(df, "title string", 2).collect()] == ["ok", "bad version", "unreadable"]
+    n = spark.createDataFrame([("/x/OP01.kara.jp.ass",), ("OP.01.lines.ass",), (".ass",)], "n string").select(text.project_name(F.col("n")).alias("n"))
+    assert [r.n for r in n.collect()] == ["OP01", "OP.01", ".ass"]
+    u = spark.createDataFrame([("https://h.net/tracks/12/",), ("https://h.net/x",), ("https://o.net/tracks/1",), ("::",)], "u string").select(text.track_id(F.col("u"), ("h.net",)).alias("t"))
+    assert [r.t for r in u.collect()] == ["12", None, None, None]
