@@ -53,9 +53,11 @@ def confidence(share: Column, lead: Column) -> Column:
 
 
 def log_softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.transform(scores, lambda x: x - top - F.log(total))
+    """Linear in the scores: the maximum and the sum go beside the array, not into a function of its elements."""
+    spread = lambda c: F.array_repeat(c, F.size(scores))
+    shifted = F.zip_with(scores, spread(F.array_max(scores)), lambda x, top: x - top)
+    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + F.exp(x))
+    return F.zip_with(shifted, spread(F.log(total)), lambda x, whole: x - whole)
 
 
 def version_parts(text: Column) -> Column:
