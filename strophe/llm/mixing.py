@@ -170,7 +170,8 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # 60 bits of an MD5 as the hashed order: a function that SQL engines share.
-    order = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":mix"))), 1, 15), 16, 10).cast("bigint") * 8
+    digits = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":mix"))), 1, 15), 16, 10).cast("bigint")
+    order = F.shiftleft(digits, 4)  # to the top bits, by which a source is cut into pieces
     return mix(docs, ["doc_id"], order=order)[1]
 
 
