@@ -72,7 +72,8 @@ def arrange(docs: DataFrame, keep: list[str], text_col: str, source_col: str, se
     sums = lean.groupBy("code", "piece").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("code").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("code", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("code", "piece").orderBy("hash", *[f"k_{c}" for c in keep], "size").rowsBetween(Window.unboundedPreceding, -1)
+    unsigned = [F.col("hash") < 0, F.col("hash")]  # as the pieces go: by the hash without its sign
+    inside = Window.partitionBy("code", "piece").orderBy(*unsigned, *[f"k_{c}" for c in keep], "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = lean.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, ["code", "piece"]).withColumn("start", F.col("offset") + F.col("ahead"))
     return placed.drop("offset", "ahead", "piece", "hash"), [(s, sizes[s]) for s in names]
