@@ -112,26 +112,42 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, kee
     return df.select(*names).mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v bigint): a row (id, component) per node with an edge.
 
-    The component is the least id in it. Each round every node takes the least label among itself
-    and its neighbours, then the label of its label; a hub's rows are reduced before they are
-    shuffled by node. Labels are written to shared scratch each round.
+    The component is the least id in it. Each round every node hooks to the first of itself and its
+    neighbours, hooks are followed to their roots by doubling, and the edges between roots go to the
+    next round until none is left. First is the least id in the first round (stars collapse at once)
+    and the least of a fresh hash in later ones: a node with an edge then comes first with chance one
+    half at most, so that the nodes left halve on average and rounds grow with the logarithm of their
+    number, whatever the diameter. A hub's rows are reduced before they are shuffled by node. Hooks
+    and edges are written to shared scratch each round.
     """
-    e = edges.where("u <> v").select("u", "v")
-    both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("c")))
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("id").alias("v"), F.col("c").alias("vc")), "v").groupBy(F.col("u").alias("id")).agg(F.min("vc").alias("m"))
-        near = labels.join(heard, "id", "left").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = materialize(near.join(jump, "c", "left").select("id", "old", F.least(F.col("c"), F.col("cc")).alias("c")))
-        done = new.where("old <> c").limit(1).count() == 0
-        labels = new.select("id", "c")
-        if done:
-            break
-    return labels.select("id", F.col("c").alias("component"))
+    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    live = materialize(edges.where("u <> v").select(*pair).distinct())
+    hooks: list[DataFrame] = []  # one per round: every node that had an edge, and its root
+    while not hooks or live.limit(1).count():
+        first = lambda c: F.xxhash64(c, F.lit(len(hooks))) if hooks else F.col(c)
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy(F.col("u").alias("id")).agg(F.min_by("v", first("v")).alias("v"))
+        hook = materialize(near.select("id", F.when(first("v") < first("id"), F.col("v")).otherwise(F.col("id")).alias("root")))
+        while True:
+            jump = hook.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            new = materialize(hook.join(jump, "root").select("id", F.col("root").alias("old"), F.col("next").alias("root")))
+            hook = new.select("id", "root")
+            if new.where("old <> root").limit(1).count() == 0:
+                break
+        hooks.append(hook)
+        ends = live.join(hook.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u").join(hook.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v")
+        live = materialize(ends.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+    found = hooks.pop()
+    if not hooks:
+        return found.select("id", F.col("root").alias("component"))
+    while hooks:
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("last"))
+        found = hooks.pop().join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    found = materialize(found)
+    return materialize(found.join(found.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

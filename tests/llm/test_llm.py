@@ -475,6 +475,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(1)
+    ids = [rng.getrandbits(64) - (1 << 63) for _ in range(2000)]
+    edges = list(itertools.pairwise(ids)) + list(itertools.pairwise(range(700)))
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: min(ids) for x in ids} | dict.fromkeys(range(700), 0)
+
+
 @pytest.mark.parametrize("n", [0, 1, 999, 30000])
 def test_range_bucket(spark, n):
     d = spark.range(n).select((F.col("id") * 7 % max(1, n // 3 + 1)).alias("k"))
