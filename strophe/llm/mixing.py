@@ -5,12 +5,13 @@
   dealt out again by weight until no source is above (the fixed point, computed by sorting the
   sources by how soon they fill).
 * Schedule: slot i of the mix is the golden-ratio point frac((i + 1/2) * phi) mapped through the
-  cumulative targets to a source, so that every stretch of the mix holds each source in proportion.
+  sources' cumulative slots to a source, so that every stretch of the mix holds each source in
+  proportion. A source needs its blocks for every full epoch and those of its last one.
 * Rank: a slot's number among its source's slots, from counts per chunk of slots and ranks within a chunk.
 * Blocks: a source's documents in hashed order are one stream of words, cut into blocks of
   ``block`` words; slot rank r takes block r modulo the source's blocks (its r div blocks-th epoch).
-  The schedule runs a little longer than needed; a source's slots beyond its target are dropped and
-  its last slot is cut to fit, so every source meets its target to a word.
+  A source's slots beyond its target are dropped and its last slot is cut to fit; the few ranks that
+  the points leave out (discrepancy) are appended, so every source meets its target to a word.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its own,
 the last; rows repeated in full are separate rows; an empty table gives an empty result.
@@ -18,6 +19,8 @@ the last; rows repeated in full are separate rows; an empty table gives an empty
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +90,10 @@ def _json(x: dict) -> str:
 
 def schedule(spark: SparkSession, targets: list[float], sizes: list[int], block: int = BLOCK) -> DataFrame:
     """The mix: slot, code, rank, epoch, block, n_words (the last slot of a source may be cut)."""
-    total = float(sum(targets))
-    cum, run = [], 0.0
-    for t in targets:
-        run += t
-        cum.append(run / total if total else 1.0)
-    slots = int(total / block * 1.001) + 64 * (len(targets) + 1) if total else 0
+    goals = [int(round(t)) for t in targets]
+    needs = [g // n * -(-n // block) + -(-(g % n) // block) if n else 0 for g, n in zip(goals, sizes, strict=True)]
+    slots = sum(needs)
+    cum = [x / slots if slots else 1.0 for x in accumulate(needs)]
     cuts = F.from_json(F.lit(str(cum)), "array<double>")
     point = F.expr(f"(id + 0.5D) * {GOLDEN}D")
     point = point - F.floor(point)
@@ -106,7 +107,14 @@ def schedule(spark: SparkSession, targets: list[float], sizes: list[int], block:
     inside = Window.partitionBy("chunk", "code").orderBy("slot")
     ranked = seq.withColumn("within", F.row_number().over(inside) - 1).join(offsets, ["chunk", "code"])
     ranked = ranked.select("slot", "code", (F.col("offset") + F.col("within")).cast("bigint").alias("rank"))
-    goal = F.element_at(F.from_json(F.lit(str([int(round(t)) for t in targets])), "array<bigint>"), F.col("code") + 1)
+    # A row per source, and per rank left out: as many as the points' discrepancy, logarithmic in the slots.
+    need = F.element_at(F.from_json(F.lit(str(needs)), "array<bigint>"), F.col("code") + 1)
+    given = counts.groupBy("code").agg(F.sum("n").alias("given"))
+    short = spark.range(len(needs)).select(F.col("id").cast("int").alias("code")).join(given, "code", "left")
+    short = short.select("code", F.coalesce("given", F.lit(0)).alias("given"), need.alias("need")).where("given < need")
+    short = short.select("code", "given", F.explode(F.expr("sequence(given, need - 1)")).alias("rank"))
+    ranked = ranked.unionByName(short.select((slots + (F.col("rank") - F.col("given")) * len(needs) + F.col("code")).alias("slot"), "code", "rank"))
+    goal = F.element_at(F.from_json(F.lit(str(goals)), "array<bigint>"), F.col("code") + 1)
     size = F.element_at(F.from_json(F.lit(str([int(s) for s in sizes])), "array<bigint>"), F.col("code") + 1)
     out = ranked.withColumn("size", size).where("size > 0").withColumn("blocks", F.expr(f"(size + {block - 1}) div {block}"))
     out = out.withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.expr("rank % blocks"))

@@ -392,6 +392,17 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), ["doc_id"])[1].count() == 0
 
 
+@pytest.mark.parametrize("small", [1, 20, 150, 300])
+def test_schedule_of_a_rare_source(spark, small):
+    sizes = [20_000_000, 3_000_000, small, 0, 5000]
+    targets = [*(1.5 * n for n in sizes[:2]), 2.0 * small, 0.0, 7501.0]
+    got = mixing.schedule(spark, targets, sizes).groupBy("code").agg(F.sum("n_words").alias("n"), F.count("rank").alias("k"), F.countDistinct("rank").alias("ranks"), F.max("rank").alias("top")).collect()
+    assert {r.code: r.n for r in got} == {i: int(t) for i, t in enumerate(targets) if t}
+    assert all(r.k == r.ranks == r.top + 1 for r in got)
+    slots = mixing.schedule(spark, targets, sizes).select("slot").collect()
+    assert len({r.slot for r in slots}) == len(slots)
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 
