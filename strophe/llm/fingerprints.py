@@ -3,12 +3,14 @@
 A document's terms are its distinct lower-cased runs of letters and digits (as 64-bit hashes). The
 lexicon keeps the terms whose document frequency over all documents lies within a band, that is,
 whose inverse document frequency does. A fingerprint hashes the sorted lexicon terms of a document
-once, and once more for each of 63 randomised subsets of the lexicon: seven families of nine nested
-subsets that keep a half, a quarter, ... of the terms by bits of the term's hash. A document with
+once, and once more for each randomised subset of the lexicon: seven families of nested subsets that
+keep a half, a quarter, ... of the terms by bits of the term's hash. There are nine levels at least, and
+as many more as the longest text needs (``levels_for``), so that some subsets stay small enough to agree
+however many terms differ. Fingerprints to be compared need equal ``levels``. A document with
 fewer than ``least_terms`` lexicon terms is fingerprinted over all its terms.
 
 Likeness of two fingerprints: a subset that keeps a share p of the lexicon agrees with chance
-(1 - p)^D if D terms differ, so the number of agreeing hashes gives an estimate of D, and with the
+(1 - p)^D if D terms differ, so the number of differing hashes gives an estimate of D, and with the
 two term counts one of the Jaccard similarity of the terms: 1 for equal fingerprints, 0 for none shared.
 
 Size of the lexicon: a term of the band is in ``low`` of all documents at least, so there are at
@@ -32,7 +34,7 @@ LOW, HIGH = 0.001, 0.1
 LEAST_TERMS = 5
 INLINE_TERMS = 1 << 20
 FAMILIES, LEVELS = 7, 9
-HASHES = 1 + FAMILIES * LEVELS
+MOST_LEVELS = 48  # of the table of estimates: twice the terms of 2^31 characters need fewer
 PATTERN = r"[^\p{L}\p{N}]+"
 
 
@@ -72,11 +74,19 @@ def keep_joined(rows: DataFrame, columns: list[str], words: DataFrame) -> DataFr
     return rows.drop(key)
 
 
-def _without(bit: int):
-    return lambda h: h.bitwiseAND(F.lit(1 << bit)) == 0
+def levels_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Levels whose smallest subset expects an eighth of a term of all that two of the texts may differ in."""
+    longest = docs.agg(F.max(F.length(text_col)).alias("n")).first()["n"] or 0  # at most (n + 1) / 2 terms
+    return max(LEVELS, (longest + 1).bit_length() + 3)
 
 
-def hash_subsets(df: DataFrame, columns: list[str]) -> DataFrame:
+def _without(family: int, level: int):
+    word, bit = divmod(level, LEVELS)
+    bit += family * LEVELS
+    return lambda h: (F.xxhash64(h, F.lit(word)) if word else h).bitwiseAND(F.lit(1 << bit)) == 0
+
+
+def hash_subsets(df: DataFrame, columns: list[str], levels: int = LEVELS) -> DataFrame:
     """Replaces each array of term hashes by struct<n, hashes>: the fingerprint's parts.
 
     A level's subsets are made from those of the level before, one projection each, so that each
@@ -87,8 +97,8 @@ def hash_subsets(df: DataFrame, columns: list[str]) -> DataFrame:
     state = df.select(*kept, *[F.sort_array(c).alias(c) for c in columns])
     state = state.select(*kept, *[F.size(c).alias(f"{c}_n") for c in columns], *[F.array(low16(F.col(c))).alias(f"{c}_h") for c in columns], *[F.col(c).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)])
     numbers = [f"{c}_n" for c in columns]
-    for level in range(LEVELS):
-        cut = [F.filter(f"{c}_{f}", _without(f * LEVELS + level)).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)]
+    for level in range(levels):
+        cut = [F.filter(f"{c}_{f}", _without(f, level)).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)]
         state = state.select(*kept, *numbers, *[f"{c}_h" for c in columns], *cut)
         more = [F.concat(f"{c}_h", F.array(*[low16(F.col(f"{c}_{f}")) for f in range(FAMILIES)])).alias(f"{c}_h") for c in columns]
         state = state.select(*kept, *numbers, *more, *[f"{c}_{f}" for c in columns for f in range(FAMILIES)])
@@ -101,23 +111,23 @@ def text_of(fp: Column) -> Column:
 
 
 def differing_terms() -> list[float]:
-    """For each number of agreeing hashes, the D at which that number is expected."""
-    expected = lambda d: (d == 0) + FAMILIES * sum((1 - 0.5**j) ** d for j in range(1, LEVELS + 1))
-    out = []
-    for k in range(HASHES):
-        lo, hi = 0.0, 1e7
-        for _ in range(80):
+    """For each number of differing hashes, the D at which that number is expected."""
+    expected = lambda d: (d > 0) + FAMILIES * sum(1 - (1 - 0.5**j) ** d for j in range(1, MOST_LEVELS + 1))
+    out = [0.0]
+    for k in range(1, 1 + FAMILIES * MOST_LEVELS + 1):
+        lo, hi = 0.0, 1e12
+        for _ in range(100):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if expected(mid) > k else (lo, mid)
+            lo, hi = (mid, hi) if expected(mid) < k else (lo, mid)
         out.append(max(1.0, hi))
-    return [*out, 0.0]
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
-    agree = F.size(F.filter(F.zip_with(a["hashes"], b["hashes"], lambda x, y: x == y), lambda e: e))
-    d = F.element_at(F.array(*[F.lit(x) for x in differing_terms()]), agree + 1)
+    differ = F.size(F.filter(F.zip_with(a["hashes"], b["hashes"], lambda x, y: x == y), lambda e: ~e))
+    d = F.element_at(F.array(*[F.lit(x) for x in differing_terms()]), differ + 1)
     both = (a["n"] + b["n"]).cast("double")
-    return F.when(agree == HASHES, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (both - d) / (both + d)))
+    return F.when(differ == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (both - d) / (both + d)))
 
 
 def with_next(df: DataFrame, key: str, value: str, name: str, rows_each: int = 128) -> tuple[DataFrame, Window, str, str]:
@@ -141,11 +151,12 @@ def with_next(df: DataFrame, key: str, value: str, name: str, rows_each: int = 1
     return led.join(firsts.hint("merge"), bucket).withColumn(name, F.when(F.col(last), F.col(after)).otherwise(F.col(name))).drop(after), order, bucket, last
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", words: DataFrame | None = None, least_terms: int = LEAST_TERMS, **band) -> DataFrame:
+def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", words: DataFrame | None = None, least_terms: int = LEAST_TERMS, levels: int | None = None, **band) -> DataFrame:
     """``docs`` with the fingerprint of each text as struct<n, hashes> in ``name``."""
+    levels = levels_for(docs, text_col) if levels is None else levels
     words = lexicon(docs, text_col, **band) if words is None else words
     df = docs.withColumn(name, terms(F.coalesce(F.col(text_col), F.lit(""))))
-    return hash_subsets(_cut(df, [name], words, least_terms), [name])
+    return hash_subsets(_cut(df, [name], words, least_terms), [name], levels)
 
 
 def _cut(df: DataFrame, columns: list[str], words: DataFrame, least_terms: int) -> DataFrame:
@@ -165,7 +176,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = led.withColumn("edited", edited)
     after = F.when(F.col(last), terms(F.col("next_text"))).otherwise(F.array().cast("array<bigint>"))  # the other rows get theirs from the next row
     made = led.select("doc_id", "text", bucket, last, F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("edit"), after.alias("after"))
-    made = hash_subsets(_cut(made, ["own", "edit", "after"], words, LEAST_TERMS), ["own", "edit", "after"])
+    made = hash_subsets(_cut(made, ["own", "edit", "after"], words, LEAST_TERMS), ["own", "edit", "after"], levels_for(docs))
     following = F.when(F.col(last), F.col("after")).otherwise(F.lead("own").over(order))
     made = made.withColumn("following", following)
     return made.select(

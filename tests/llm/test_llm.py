@@ -64,6 +64,15 @@ def test_fingerprints(spark):
     assert all(0 <= x <= 1 for x in s.values())
 
 
+def test_likeness_of_long_texts(spark):
+    words = [f"w{i}x" for i in range(24000)]
+    texts = [" ".join(words[:18000]), " ".join(words[3000:21000]), " ".join(words[9000:])]
+    got = [r.fingerprint for r in fingerprints.fingerprint(docs(spark, texts), low=0.0, high=1.0).orderBy("doc_id").collect()]
+    pair = spark.createDataFrame([(got[0], got[1], got[2])], "a struct<n:int,hashes:array<int>>, b struct<n:int,hashes:array<int>>, c struct<n:int,hashes:array<int>>")
+    near, far = pair.select(fingerprints.likeness(F.col("a"), F.col("b")), fingerprints.likeness(F.col("a"), F.col("c"))).first()
+    assert abs(near - 15 / 21) < 0.2 and far < near  # 6,000 terms differ
+
+
 def test_joined_lexicon_equals_inline(spark):
     rng = random.Random(2)
     d = docs(spark, [prose(rng, 40) for _ in range(30)] + [None])
