@@ -109,7 +109,22 @@ def natural_p(run: str, natural_switch: float) -> float:
     """Chance that a word-like run changes class at least as often: binomial upper tail."""
     n = len(run) - 1
     seen = sum(_class(a) != _class(b) for a, b in zip(run, run[1:], strict=False))
-    return min(1.0, sum(math.comb(n, j) * natural_switch**j * (1 - natural_switch) ** (n - j) for j in range(seen, n + 1))) if n < 400 else (0.0 if seen > 2 * n * natural_switch else 1.0)
+    if n < 400:
+        return min(1.0, sum(math.comb(n, j) * natural_switch**j * (1 - natural_switch) ** (n - j) for j in range(seen, n + 1)))
+    # The same sum from its larger side's first term on, by ratios: as long as terms count.
+    odds = natural_switch / (1 - natural_switch)
+    upper = seen > n * natural_switch
+    j = seen if upper else seen - 1
+    if j < 0:
+        return 1.0
+    log = math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(natural_switch) + (n - j) * math.log1p(-natural_switch)
+    total = term = 1.0
+    while term > 1e-17 * total and (j < n if upper else j > 0):
+        term *= (n - j) / (j + 1) * odds if upper else j / ((n - j + 1) * odds)
+        j += 1 if upper else -1
+        total += term
+    tail = math.exp(min(0.0, log + math.log(total)))
+    return tail if upper else 1 - tail
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

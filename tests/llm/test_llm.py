@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -472,6 +473,15 @@ def test_battery_finds_noise_and_leaves_words(spark):
     assert np.mean(found[:60]) >= 0.95 and sum(found[60:]) == 0
 
 
+@pytest.mark.parametrize("n", [400, 1000, 3000])
+@pytest.mark.parametrize("rate", [0.03, 0.06, 0.09, 0.12])
+def test_natural_p_of_long_runs(n, rate):
+    seen = int(rate * n)
+    run = "".join("aA"[min(i, seen) % 2] for i in range(n + 1))
+    want = sum(math.comb(n, j) * Fraction(3, 50) ** j * Fraction(47, 50) ** (n - j) for j in range(seen, n + 1))
+    assert secrets.natural_p(run, 0.06) == pytest.approx(float(want), rel=1e-6)
+
+
 def test_redact(spark):
     d = docs(spark, SECRET)
     got = collected(secrets.redact(d))
