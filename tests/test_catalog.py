@@ -43,3 +43,10 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0 or name == "q_locate"  # too few peaks for a segment in the smallest tables
+
+
+def test_match_timings_reads_every_line(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(catalog.resolve, "match_timings", lambda lines, timings, song: seen.update(lines=lines.count(), timings=timings.count()) or lines)
+    catalog.QUERIES["q_match_timings"](spark, SF)
+    assert seen["lines"] == seen["timings"] > 0
