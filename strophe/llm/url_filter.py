@@ -91,13 +91,16 @@ def reputation(labelled: DataFrame) -> DataFrame:
     return h.select("host", (F.col("bad") + F.col("drate") * F.col("ds")).alias("alpha"), (F.col("n") - F.col("bad") + (1 - F.col("drate")) * F.col("ds")).alias("beta"))
 
 
-def judge(pages: DataFrame, key: str = "page_id", url_col: str = "url", rules=RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """key, host, path, rule, verdict, and the posterior bound that judged pages without a rule."""
+def judge(pages: DataFrame, key: str = "page_id", url_col: str = "url", rules=RULES, z: float = Z, limit: float = LIMIT, two_label_suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """key, host, path, rule, verdict, and the posterior bound that judged pages without a rule.
+
+    ``two_label_suffixes`` (such as co.uk) goes into the plan as a list: some thousands at most.
+    """
     host, path = split_url(F.col(url_col))
     cut = pages.select(F.col(key).alias("page_key"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     cut = cut.withColumn("rule", rule).withColumn("ruled", verdict)
-    domain, suffix = registered(F.col("host"))
+    domain, suffix = registered(F.col("host"), two_label_suffixes)
     # Reduced to a row per host before it is shuffled, however many pages a host has.
     per_host = cut.groupBy("host").agg(F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"))
     known = reputation(per_host.withColumn("domain", domain).withColumn("suffix", suffix))

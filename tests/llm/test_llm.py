@@ -281,6 +281,15 @@ def test_urls(spark):
             assert got[i].verdict == max(fits)[2]
 
 
+def test_two_label_suffixes(spark):
+    urls = [f"http://{h}.bad.co.uk/x" for h in "abcd"] * 5 + ["http://new.bad.co.uk/y", "http://new.good.co.uk/y"] + [f"http://{h}.good.co.uk/z" for h in "abcd"] * 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    rules = (("bad.co.uk", "/x", "block"), ("good.co.uk", "/z", "allow"))
+    bound = lambda **o: {r.host: r.bound for r in url_filter.judge(pages, rules=rules, **o).where("rule is null").collect()}
+    one, two = bound(), bound(two_label_suffixes=("co.uk",))
+    assert one["new.bad.co.uk"] == one["new.good.co.uk"] and two["new.bad.co.uk"] > two["new.good.co.uk"]
+
+
 def test_reputation(spark):
     rows = [(i, f"http://bad.site.com/de/{i}") for i in range(30)] + [(100 + i, f"http://good.site.com/fr/{i}") for i in range(30)]
     rows += [(200, "http://bad.site.com/en/"), (201, "http://good.site.com/en/"), (202, "http://new.site.com/en/"), (203, "http://x.net/")]
