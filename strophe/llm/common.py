@@ -7,6 +7,7 @@ executor can reach, so a lost executor costs a reread and not a recomputation.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,13 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
+
+
+#: Scratch tables of this process, oldest first.
+_WRITTEN: list[str] = []
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared scratch folder; a folder of our own only where none is named."""
+    """A new path in the folder of ``spark.checkpoint.dir``; a temporary folder of our own where that is
+    unset and all runs on this machine. On a cluster an unset folder is an error: executors share no disk."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -32,16 +40,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows to shared scratch and reads them back: computed once, lineage cut."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; frames that still read them become invalid."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if base:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
+def drop_scratch(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the scratch tables from the ``since``-th on, the last ``but`` excepted; frames that read them end with them."""
+    gone = _WRITTEN[since : len(_WRITTEN) - but]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
+
+
+def scratch_tables() -> int:
+    return len(_WRITTEN)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -82,27 +95,47 @@ def running_offsets(counts: DataFrame, order: list[str], value: str, name: str,
     return counts.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("bigint")))
 
 
-def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, keep: list[str], text_col: str = "text", chars: int = 4_000_000) -> DataFrame:
+#: Characters of texts that one numpy step takes at a time (or one text, if it is longer).
+CHARS = 500_000
+
+
+def text_runs(column, chars: int = CHARS) -> Iterator[list[str]]:
+    """The texts of an Arrow column (null: empty) in lists that end where ``chars`` is passed.
+
+    Garbage collection rests meanwhile: there are many small lists and tuples and no cycles.
+    """
+    texts: list[str] = []
+    total = 0
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        for x in column:
+            texts.append(x.as_py() or "")
+            total += len(texts[-1])
+            if total >= chars:
+                yield texts
+                texts, total = [], 0
+        if texts:
+            yield texts
+    finally:
+        if on:
+            gc.enable()
+
+
+def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """``make(texts) -> columns`` over whole texts (null: empty) in Arrow batches.
 
-    A batch is cut where its texts pass ``chars`` characters, so memory follows that bound and the
+    A batch is worked off in runs of ``CHARS`` characters, so memory follows that bound and the
     longest text. ``keep`` columns are passed through; ``schema`` names all columns that come out.
     """
 
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields if f.name not in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small lists and tuples, no cycles: collections would only walk them
         for batch in batches:
             kept = {c: batch.column(c) for c in keep}
-            column = batch.column(text_col)
             at = 0
-            while at < batch.num_rows:
-                texts: list[str] = []
-                total = 0
-                while at + len(texts) < batch.num_rows and (not texts or total < chars):
-                    texts.append(column[at + len(texts)].as_py() or "")
-                    total += len(texts[-1])
+            for texts in text_runs(batch.column(text_col)):
                 out = make(texts)
                 cols = {c: v.slice(at, len(texts)) for c, v in kept.items()}
                 yield pa.RecordBatch.from_pydict({**cols, **{c: pa.array(v, types[c]) for c, v in out.items()}})
@@ -112,6 +145,20 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, kee
     return df.select(*names).mapInArrow(run, schema)
 
 
+def of_texts(make: Callable[[list[str]], list], kind: str):
+    """A column function: ``make(texts)`` over whole texts, a value per row. The rows' other columns stay
+    in the JVM, so a text goes to Python once and does not come back."""
+    arrow_type = to_arrow_type(DataType.fromDDL(kind))
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            out = [pa.array(make(texts), arrow_type) for texts in text_runs(part)]
+            yield pa.concat_arrays(out) if out else pa.array([], arrow_type)
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v bigint): a row (id, component) per node with an edge.
 
@@ -120,8 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
     next round until none is left. First is the least id in the first round (stars collapse at once)
     and the least of a fresh hash in later ones: a node with an edge then comes first with chance one
     half at most, so that the nodes left halve on average and rounds grow with the logarithm of their
-    number, whatever the diameter. A hub's rows are reduced before they are shuffled by node. Hooks
-    and edges are written to shared scratch each round.
+    number, whatever the diameter. A hub's rows are reduced before its neighbours' minimum is shuffled;
+    the join that takes edges to their ends' roots has the hub as its key and leans on the adaptive skew
+    join, which splits that key's rows. Hooks and edges are written to shared scratch each round.
     """
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     live = materialize(edges.where("u <> v").select(*pair).distinct())

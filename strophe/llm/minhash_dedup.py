@@ -13,13 +13,15 @@ frequency ln(1 + n / max(df, floor * n)): shingles in at most ``floor`` of all d
    Jaccard similarity. Two documents of similarity 0.8 share a band with chance 0.9998.
 3. *Candidates.* Documents with equal word sequences are one node. In every bucket the least node is
    the anchor and is compared with all others: pairs linear in the bucket. Linked nodes become
-   components. In buckets of up to ``small`` nodes every pair of *different* components is compared too
-   (at most ``small`` / 2 pairs a node). Nodes that larger buckets connect form clusters; a cluster
-   that holds several components is cut into blocks, and every two blocks meet in one group of bounded
-   size whose similarities are one matrix product and whose result is a link a node, never the pairs.
-   So no bucket is capped and no pair of a bucket is left out.
-4. *Verification.* The weighted Jaccard similarity over the whole texts decides. Single pairs are first
-   asked to agree in half their samples at least (a pair of similarity 0.8 fails that with chance 1e-5).
+   components. In buckets of up to ``SMALL`` nodes every pair of *different* components is compared too
+   (at most ``SMALL`` / 2 pairs a node). In a larger bucket of several components nodes are dealt to blocks
+   of ``BLOCK``, a large component to blocks of its own, and every two blocks meet in one group of bounded
+   size, but for those of one component; a group's similarities are one matrix product and its result
+   is a link a node, never the pairs. A node's shingles so travel at most (bucket / ``BLOCK``) times a
+   bucket, and only as far as documents of the bucket are not linked already. No bucket is capped and
+   no pair of a bucket is left out.
+4. *Verification.* The weighted Jaccard similarity over the whole texts decides on every route, after
+   an exact bound by the texts' whole weights.
 
 Edge cases: texts without a word (null: empty) are equal only if the texts are equal; repeated rows
 and equal texts are in one class; documents with null ids can be members, and a class is named by its
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import components, free_name, map_texts, materialize, mix64
+from strophe.llm.common import components, free_name, map_texts, materialize, mix64, text_runs
 
 WORDS, THRESHOLD, FLOOR = 5, 0.8, 0.001
 BANDS, ROWS = 12, 3
@@ -66,26 +68,33 @@ def _gamma() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each text's begin (one more entry than texts)."""
     lower = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([0, *map(len, lower)])
+    none = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return none
     inside = _word_characters()[codes]
-    before = np.concatenate([[False], inside[:-1]])
+    before = np.empty(len(codes), bool)
+    before[0], before[1:] = False, inside[:-1]
     before[ends[:-1][ends[:-1] < len(codes)]] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    first = np.zeros(len(codes), np.int64)
-    first[starts] = starts
-    place = (np.arange(len(codes)) - np.maximum.accumulate(first)).astype(np.uint64)
+        return none
+    spread = np.diff(np.append(starts, len(codes)))
+    codes, inside = codes[starts[0] :], inside[starts[0] :]
+    place = np.arange(len(codes), dtype=np.uint64)
+    place -= np.repeat((starts - starts[0]).astype(np.uint64), spread)
     with np.errstate(over="ignore"):
-        m = (codes.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0x9E3779B97F4A7C15)
-        m ^= place * np.uint64(0xD6E8FEB86659FD93)
+        place *= np.uint64(0xD6E8FEB86659FD93)
+        m = codes.astype(np.uint64)
+        m += np.uint64(0x51ED27)
+        m *= np.uint64(0x9E3779B97F4A7C15)
+        m ^= place
         m *= np.uint64(0xFF51AFD7ED558CCD)
-        m ^= m >> np.uint64(32)
+        np.right_shift(m, np.uint64(32), out=place)
+        m ^= place
         m[~inside] = 0
-        words = mix64(np.add.reduceat(m, starts))
+        words = mix64(np.add.reduceat(m, starts - starts[0]))
     return words, np.searchsorted(starts, ends)
 
 
@@ -97,7 +106,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     with np.errstate(over="ignore"):
         h = words.copy()
         for k in range(1, WORDS):
-            h[: n - k] = h[: n - k] * np.uint64(0xC6A4A7935BD1E995) + words[k:]
+            m = max(0, n - k)
+            h[:m] = h[:m] * np.uint64(0xC6A4A7935BD1E995) + words[k:]
         h = mix64(h)
         out = []
         for i, text in enumerate(texts):
@@ -184,7 +194,7 @@ def heavy_shingles(docs: DataFrame, n: int, text_col: str, floor: float = FLOOR)
     def sketch(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen = False
-        for texts in _texts(batches):
+        for texts in (run for b in batches for run in text_runs(b.column(0))):
             h = shingles(texts)[0]
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             seen = True
@@ -212,7 +222,7 @@ def heavy_shingles(docs: DataFrame, n: int, text_col: str, floor: float = FLOOR)
 
     def heavy(batches):
         above = np.unpackbits(shared.value).astype(bool)
-        for texts in _texts(batches):
+        for texts in (run for b in batches for run in text_runs(b.column(0))):
             h = shingles(texts)[0]
             h, c = np.unique(h[above[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]], return_counts=True)
             if len(h):
@@ -222,27 +232,15 @@ def heavy_shingles(docs: DataFrame, n: int, text_col: str, floor: float = FLOOR)
     return got.column("h").to_numpy().view(np.uint64), got.column("df").to_numpy()
 
 
-def _texts(batches, chars: int = 4_000_000):
-    """Lists of texts of the first column, cut at ``chars`` characters or so."""
-    for b in batches:
-        texts, total = [], 0
-        for x in b.column(0):
-            texts.append(x.as_py() or "")
-            total += len(texts[-1])
-            if total >= chars:
-                yield texts
-                texts, total = [], 0
-        if texts:
-            yield texts
-
-
 def signatures(docs: DataFrame, key: str, text_col: str, idf: Idf) -> DataFrame:
-    """key, xt (hash of the text), node (hash of the word sequence), sig (null without a word), bands."""
+    """key, xt (hash of the text), node (hash of the word sequence), weight (of all shingles), bands (null without a word)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def make(texts: list[str]) -> dict:
         h, counts, ends, keys = shingles(texts)
-        sig = sample(h, shared.value.of(h) * counts, ends) if len(h) else np.zeros((len(texts), BANDS * ROWS), np.uint32)
+        weights = shared.value.of(h) * counts
+        sums = np.concatenate([[0.0], np.cumsum(weights)])
+        sig = sample(h, weights, ends) if len(h) else np.zeros((len(texts), BANDS * ROWS), np.uint32)
         band = np.zeros((len(texts), BANDS), np.uint64)
         with np.errstate(over="ignore"):
             for b in range(BANDS):
@@ -253,21 +251,24 @@ def signatures(docs: DataFrame, key: str, text_col: str, idf: Idf) -> DataFrame:
         some = np.diff(ends) > 0
         return {
             "node": [int.from_bytes(k, "little", signed=True) for k in keys],
-            "sig": [s if ok else None for s, ok in zip(sig.view(np.int32), some, strict=True)],
+            "weight": sums[ends[1:]] - sums[ends[:-1]],
             "bands": [s if ok else None for s, ok in zip(band.view(np.int64), some, strict=True)],
         }
 
     kind = docs.schema[key].dataType.simpleString()
     lean = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("xt"), F.col(text_col).alias("text"))
-    return map_texts(lean, make, f"key {kind}, xt bigint, node bigint, sig array<int>, bands array<bigint>", ["key", "xt"])
+    return map_texts(lean, make, f"key {kind}, xt bigint, node bigint, weight double, bands array<bigint>", ["key", "xt"])
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) of nodes: those whose weighted Jaccard similarity is ``threshold`` or more."""
-    a = sigs.select(F.col("node").alias("u"), F.col("sig").alias("sa"))
-    b = sigs.select(F.col("node").alias("v"), F.col("sig").alias("sb"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    near = pairs.join(a, "u").join(b, "v").where(agree * 2 >= BANDS * ROWS).select("u", "v")
+def _verify(pairs: DataFrame, nodes: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) of nodes: those whose weighted Jaccard similarity is ``threshold`` or more.
+
+    The similarity is at most the lesser of two texts' whole weights over the greater: pairs that fall
+    short of that bound are left out before their shingles are fetched, which loses none.
+    """
+    a = nodes.select(F.col("node").alias("u"), F.col("weight").alias("wa"))
+    b = nodes.select(F.col("node").alias("v"), F.col("weight").alias("wb"))
+    near = pairs.join(a, "u").join(b, "v").where(F.least("wa", "wb") >= threshold * (1 - 1e-9) * F.greatest("wa", "wb")).select("u", "v")
     fa = feats.select(F.col("node").alias("u"), F.col("h").alias("ha"), F.col("tf").alias("ta"), F.col("idf").alias("ia"))
     fb = feats.select(F.col("node").alias("v"), F.col("h").alias("hb"), F.col("tf").alias("tb"), F.col("idf").alias("ib"))
 
@@ -371,6 +372,29 @@ def _link_blocks(threshold: float):
     return run
 
 
+def _meetings(many: DataFrame, block: int | None = None) -> DataFrame:
+    """(bucket, node, component) -> (g, side, node, component): which blocks of a bucket meet in which group.
+
+    A component of a block's size or more has blocks of its own; the lesser ones share the others. Every
+    two blocks meet, and a shared one meets itself, but for two blocks of one component: a bucket of one
+    component has no meeting. A node goes into as many groups as its bucket has blocks it must meet.
+    """
+    block = BLOCK if block is None else block
+    parts = many.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.expr(f"if(n >= {block}, (n + {block - 1}) div {block}, 0)"))
+    sums = parts.groupBy("bucket").agg(F.sum("own").alias("own_blocks"), F.expr(f"(sum(if(own = 0, n, 0)) + {block - 1}) div {block}").alias("shared"), F.count(F.lit(1)).alias("comps"))
+    sums = sums.where("comps > 1").select("bucket", "shared", (F.col("own_blocks") + F.col("shared")).alias("blocks"))
+    # At most a row per block of the bucket in a window.
+    before = Window.partitionBy("bucket").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = parts.where("own > 0").withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0))).select("bucket", "component", "own", "first")
+    rows = many.join(sums, "bucket").join(large, ["bucket", "component"], "left")
+    mine = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("component", "node"), F.col("shared"))).otherwise(F.col("shared") + F.col("first") + F.pmod(F.xxhash64("node"), F.col("own")))
+    rows = rows.withColumn("b", mine)
+    others = "filter(sequence(0, blocks - 1), k -> own is null or k < shared + first or k >= shared + first + own)"
+    meet = f"transform({others}, k -> struct(least(k, b) as i, greatest(k, b) as j, if(b > k, 1, 0) as side))"
+    rows = rows.select("node", "component", "bucket", F.explode(F.expr(meet)).alias("in"))
+    return rows.select(F.xxhash64("bucket", "in.i", "in.j").alias("g"), "in.side", "node", "component")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """A row per document: key, xt (hash of its text), class_key (least key of its class), keeper_xt."""
     spark = docs.sparkSession
@@ -378,7 +402,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", thresh
     idf = Idf(*heavy_shingles(docs, n, text_col, floor), n, floor)
     signed = materialize(signatures(docs, key, text_col, idf))
     # One document stands for each node; the copies' rows are reduced before the shuffle.
-    nodes = signed.groupBy("node").agg(F.min(F.struct("key", "xt")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min(F.struct("key", "xt")).alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = materialize(nodes)
     entries = nodes.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
     size = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("anchor")).where("size > 1")
@@ -395,9 +419,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", thresh
         return {"h": [h[c].view(np.int64) for c in cut], "tf": [tf[c] for c in cut], "idf": [idf_of[c] for c in cut]}
 
     feats = materialize(map_texts(met, features, "node bigint, h array<bigint>, tf array<int>, idf array<double>", ["node"]).dropDuplicates(["node"]))
-    sigs = nodes.select("node", "sig")
     pairs = entries.where("node <> anchor").select(F.col("anchor").alias("u"), F.col("node").alias("v")).distinct()
-    links = materialize(_verify(pairs, sigs, feats, threshold))
+    links = materialize(_verify(pairs, nodes, feats, threshold))
     comp = components(links)
 
     def with_component(rows: DataFrame) -> DataFrame:
@@ -409,18 +432,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", thresh
     a = few.where("node <> anchor").select("bucket", F.col("node").alias("u"), F.col("component").alias("cu"))
     b = few.where("node <> anchor").select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
     pairs = a.join(b, "bucket").where("u < v and cu <> cv").select("u", "v").distinct()
-    links = links.unionByName(materialize(_verify(pairs, sigs, feats, threshold)))
-    # Large buckets: the clusters of nodes that they connect.
-    many = entries.where(f"size > {SMALL}").select(F.col("anchor").alias("u"), F.col("node").alias("v"))
-    cluster = components(many).withColumnRenamed("component", "cluster").withColumnRenamed("id", "node")
-    cluster = materialize(with_component(cluster))
-    open_ = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
-    rows = cluster.join(open_.select("cluster", blocks.alias("nb")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    meet = "transform(sequence(0, nb - 1), k -> struct(least(k, own) as i, greatest(k, own) as j, if(own > k, 1, 0) as side))"
-    rows = rows.select("node", "component", "cluster", F.explode(F.expr(meet)).alias("in"))
-    rows = rows.select("node", "component", F.xxhash64("cluster", "in.i", "in.j").alias("g"), "in.side")
-    rows = rows.join(feats, "node").select("g", "side", "node", "component", "h", "tf", "idf")
+    links = links.unionByName(materialize(_verify(pairs, nodes, feats, threshold)))
+    # Large buckets that hold several components, block by block.
+    many = with_component(entries.where(f"size > {SMALL}").select("bucket", "node"))
+    rows = _meetings(materialize(many)).join(feats, "node").select("g", "side", "node", "component", "h", "tf", "idf")
     rows = rows.repartition("g").sortWithinPartitions("g", "side", "node")
     links = links.unionByName(materialize(rows.mapInArrow(_link_blocks(threshold), "u bigint, v bigint")))
     comp = components(links)

@@ -14,7 +14,7 @@ features plus a bias.
 
 Edge cases: a null or empty text has no features and gets the bias's score; rows with a null or
 conflicting label are not learned from (labels of one key are averaged, an average of exactly one
-half is dropped); with no labels, or labels of one class only, the model says what the bias says.
+half is dropped); of documents that share an id, one text is learned from (the one of least hash); with no labels, or labels of one class only, the model says what the bias says.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm.common import free_name, map_texts
+from strophe.llm.common import free_name, map_texts, of_texts
 
 #: Bound on labelled rows that a model is fit on.
 SAMPLE_ROWS = 5000
@@ -117,6 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", (F.col("y") > 0.5).cast("int").alias("y"))
     # sample_rows rows of two numbers: a proven bound.
     rows = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(one), "doc_id")
+    # One text an id, however often the id is repeated: reduced before the shuffle.
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
 
     def make(texts: list[str]) -> dict:
         pairs = [np.unique(features(codes_of(t), bits), return_counts=True) for t in texts]
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
         weights, bias = train([(b, n, y) for _, y, b, n in data], bits, **options)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
-    sample = map_texts(rows, make, "doc_id bigint, y int, b array<int>, n array<int>", ["doc_id", "y"])
+    sample = map_texts(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, b array<int>, n array<int>", ["doc_id", "y"])
     model = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
     return np.frombuffer(model["weights"], np.float32), model["bias"]
 
@@ -150,18 +152,22 @@ def log_odds(texts: list[str], weights: np.ndarray, bias: float, bits: int = BIT
     return out
 
 
+def score_of(spark: SparkSession, model: tuple[np.ndarray, float], bits: int = BITS):
+    """A column function: the score (0 to 1, higher: better) of a text."""
+    weights, bias = model
+    shared = spark.sparkContext.broadcast(weights)  # 2**bits floats
+
+    def make(texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-log_odds(texts, shared.value, bias, bits)))
+
+    return of_texts(make, "double")
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``keep`` columns (default: all but the text) and ``score`` (0 to 1, higher: better)."""
     keep = [c for c in docs.columns if c not in (text_col, "score")] if keep is None else keep
     name = free_name(docs.select(*keep), "score")
-    weights, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits floats
-
-    def make(texts: list[str]) -> dict:
-        return {name: 1 / (1 + np.exp(-log_odds(texts, shared.value, bias, bits)))}
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_texts(docs, make, f"{schema}{', ' * bool(schema)}`{name}` double", keep, text_col)
+    return docs.select(*keep, score_of(docs.sparkSession, model, bits)(F.col(text_col)).alias(name))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ empty result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strophe.llm.bpe import Bpe, load, vocabulary_path
+from strophe.llm.common import text_runs
 
 RULES = ("first", "most", "split")
 
@@ -122,7 +122,6 @@ def attribute_tokens(docs: DataFrame, path: str, key: str = "doc_id", text_col:
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # as in map_texts
         bpe = load(path)
         for batch in batches:
             keys = batch.column("key")
@@ -137,13 +136,8 @@ def attribute_tokens(docs: DataFrame, path: str, key: str = "doc_id", text_col:
                 at.clear(), [c.clear() for c in cols]
                 return out
 
-            column, i = batch.column("text"), 0
-            while i < batch.num_rows:
-                texts: list[str] = []
-                total = 0
-                while i + len(texts) < batch.num_rows and (not texts or total < 2_000_000):
-                    texts.append(column[i + len(texts)].as_py() or "")
-                    total += len(texts[-1])
+            i = 0
+            for texts in text_runs(batch.column("text")):
                 cuts = [bpe.cut(t) for t in texts]
                 known = bpe.learn(cuts)
                 for text, cut in zip(texts, cuts, strict=True):

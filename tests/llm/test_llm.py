@@ -346,6 +346,41 @@ def test_minhash_against_brute_force(spark, seed, monkeypatch):
     assert {r.doc_id: r.class_key for r in got} == dict(enumerate(brute_classes(texts)))
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_short_batches(spark, n):
+    words = "one two three four five six".split()[:n]
+    whole = " ".join(words)
+    h, counts, ends, keys = minhash_dedup.shingles([whole])
+    assert len(h) == (0 if n == 0 else max(1, n - 4)) and ends.tolist() == [0, len(h)] and counts.sum() == len(h)
+    if n in (2, 3):  # each text a batch of its own
+        got = collected(minhash_dedup.classes(docs(spark, [whole, None, whole, " ".join(words[::-1])]).repartition(4)))
+        assert [got[i].class_key for i in range(4)] == [0, 1, 0, 3]
+
+
+def test_texts_in_one_run_are_as_texts_alone():
+    texts = [*(t or "" for t in ODD), *(t or "" for t in near_texts(5)[:40]), "a b c d e f g h", "\ud800 x"]
+    h, counts, ends, keys = minhash_dedup.shingles(texts)
+    for i, t in enumerate(texts):
+        h1, c1, _, k1 = minhash_dedup.shingles([t or ""])
+        assert h[ends[i] : ends[i + 1]].tolist() == h1.tolist() and counts[ends[i] : ends[i + 1]].tolist() == c1.tolist() and keys[i] == k1[0]
+
+
+def test_meetings(spark):
+    """Every two nodes of different components of a bucket meet, no two blocks of one component do."""
+    rng = random.Random(6)
+    rows = [(b, 1000 * b + i, (0 if i < 40 else 1 if i < 70 else i) if b else 5) for b in range(3) for i in range(100)]
+    rng.shuffle(rows)
+    got = minhash_dedup._meetings(spark.createDataFrame(rows, "bucket long, node long, component long"), 8).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append(r)
+    met = {frozenset((a.node, b.node)) for g in groups.values() for a, b in itertools.combinations(g, 2)}
+    comp = {n: c for _, n, c in rows}
+    want = {frozenset((a, b)) for b in (1, 2) for a, b in itertools.combinations(range(1000 * b, 1000 * b + 100), 2) if comp[a] != comp[b]}
+    assert want <= met and all(n >= 1000 for pair in met for n in pair)
+    assert all(len({x.component for x in g}) > 1 for g in groups.values()) and max(map(len, groups.values())) <= 60
+
+
 def test_keep_one(spark):
     texts = ["a b c d e f", "a b c d e f", "other words go in here now", None, None]
     d = docs(spark, texts)
@@ -473,22 +508,97 @@ def test_base_spans(spark):
 
 def test_battery_finds_noise_and_leaves_words(spark):
     rng = random.Random(11)
-    alphabet = secrets.ALPHABETS["base64"][:62]
+    alphabet = secrets.ALPHABETS["base62"]
     noise = ["".join(rng.choice(alphabet) for _ in range(rng.choice([24, 32, 40, 64]))) for _ in range(60)]
+    one_class = ["".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(160)) for k in ("lower", "upper") for _ in range(30)]
     clean = ["".join(rng.choice(["ing", "tion", "ther", "keit", "lich", "ment"]) for _ in range(rng.randrange(4, 9))) for _ in range(500)] + ["2023-10-11T10-20-30", "some_long_identifier_name", "InternationalizationOfEverything"]
-    texts = [f"see {x} here" for x in noise + clean]
+    texts = [f"see {x} here" for x in noise + one_class + clean] + ["".join(rng.choice(alphabet) for _ in range(30_000))]
     got = collected(secrets.scan(docs(spark, texts)))
     found = [any(s.kind == "random" for s in got[i].spans) for i in range(len(texts))]
-    assert np.mean(found[:60]) >= 0.95 and sum(found[60:]) == 0
-
-
-@pytest.mark.parametrize("n", [400, 1000, 3000])
-@pytest.mark.parametrize("rate", [0.03, 0.06, 0.09, 0.12])
-def test_natural_p_of_long_runs(n, rate):
-    seen = int(rate * n)
-    run = "".join("aA"[min(i, seen) % 2] for i in range(n + 1))
-    want = sum(math.comb(n, j) * Fraction(3, 50) ** j * Fraction(47, 50) ** (n - j) for j in range(seen, n + 1))
-    assert secrets.natural_p(run, 0.06) == pytest.approx(float(want), rel=1e-6)
+    assert np.mean(found[:60]) >= 0.95 and np.mean(found[60:120]) >= 0.95 and sum(found[120:-1]) == 0 and found[-1]
+
+
+@pytest.mark.parametrize("n", [3, 15, 400, 3000])
+@pytest.mark.parametrize("rate", [0.03, 0.06, 0.5])
+def test_binomial_tail(n, rate):
+    exact = Fraction(rate).limit_denominator(100)
+    for at in (0, 1, int(rate * n), min(n, int(2 * rate * n) + 1), n):
+        term = lambda j: math.comb(n, j) * exact**j * (1 - exact) ** (n - j)
+        for upper in (True, False):
+            want = sum(term(j) for j in (range(at, n + 1) if upper else range(at + 1)))
+            log = math.log(want.numerator) - math.log(want.denominator)
+            assert secrets.binomial_tail(n, rate, at, upper) == pytest.approx(log, rel=1e-7, abs=1e-9)
+
+
+def test_gamma_tail():
+    for a in (1, 2, 3, 7):  # whole shapes: a Poisson sum
+        for x in (0.1, 1.0, 2.5, 8.0, 60.0, 900.0):
+            want = sum(Fraction(x) ** j / math.factorial(j) for j in range(a))
+            assert secrets.gamma_tail(a, x) == pytest.approx(math.log(want.numerator) - math.log(want.denominator) - x, rel=1e-9, abs=1e-12)
+    grid = np.linspace(0, 200, 2_000_001)  # a shape that is not whole, by a plain sum
+    density = np.exp(0.97 * np.log(grid[1:]) - grid[1:] - math.lgamma(1.97))
+    for x in (0.5, 2.0, 10.0):
+        assert secrets.gamma_tail(1.97, x) == pytest.approx(math.log(density[grid[1:] > x].sum() * 1e-4), abs=1e-3)
+
+
+def plain_statistics(run):
+    """The battery once more, without arrays."""
+    body = run.rstrip("=") or run
+    encoding = next((k for k, a in secrets.ALPHABETS.items() if set(body) <= set(a)), "mixed")
+    a, n = secrets.ALPHABETS[encoding], len(body)
+    kind = (lambda c: c in "aeiouyAEIOUY") if encoding in ("lower", "upper") else (lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s")
+    chi2 = sum((body.count(c) - n / len(a)) ** 2 / (n / len(a)) for c in a)
+    switches = sum(kind(x) != kind(y) for x, y in itertools.pairwise(body))
+    mean = sum(map(a.index, body)) / n
+    dev = [a.index(c) - mean for c in body]
+    serial = sum(x * y for x, y in itertools.pairwise(dev)) / sum(x * x for x in dev) if any(dev) else None
+    return encoding, n, chi2, switches, serial
+
+
+def random_run(rng, n=None):
+    return "".join(rng.choice(secrets.ALPHABETS[rng.choice(list(secrets.ALPHABETS))]) for _ in range(n or rng.randrange(16, 90)))
+
+
+def test_battery_against_a_plain_one():
+    rng = random.Random(12)
+    for run in [random_run(rng) for _ in range(200)] + ["a" * 20, "0" * 16, "ab" * 12 + "==", "=" * 16]:
+        s, (encoding, n, chi2, switches, serial) = secrets.statistics(run), plain_statistics(run)
+        assert (s.encoding, s.n, s.switches) == (encoding, n, switches) and s.chi2 == pytest.approx(chi2)
+        assert s.serial is None if serial is None else s.serial == pytest.approx(serial)
+
+
+def test_combined_p_is_uniform_under_its_null():
+    """Of independent uniform p-values the combination without dependence is uniform; with dependence it is larger in the tail."""
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.random((4000, 3)))
+    p = np.exp([secrets.combined_log(list(x), 0.0) for x in logs])
+    for at in (0.01, 0.1, 0.5):
+        assert (p < at).mean() == pytest.approx(at, abs=3 * math.sqrt(at * (1 - at) / 4000))
+    assert all(secrets.combined_log(list(x), 0.3) > secrets.combined_log(list(x), 0.0) for x in logs if x.sum() < -12)
+
+
+def test_step_up_against_a_plain_one(spark):
+    rng = random.Random(13)
+    words = ["ing", "tion", "ther", "keit", "lich", "ment"]
+    texts = [" ".join("".join(rng.choice(words) for _ in range(rng.randrange(4, 12))) if rng.random() < 0.7 else random_run(rng) for _ in range(4)) for _ in range(150)]
+    texts += [texts[0], "q" * 500, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))]
+    runs = []  # (text, start, end, band, bin) of all runs outside base spans
+    for i, t in enumerate(texts):
+        base = secrets.base_spans(t)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                log = secrets.run_log(m.group(), 0.001, secrets.Natural(), 0.3)
+                band = max(k for k, least in enumerate((16, 20, 28, 40)) if len(m.group()) >= least)
+                runs.append((i, m.start(), m.end(), band, min(secrets.TOP_BIN, int(-log / math.log(10) / secrets.BIN))))
+    want = set()
+    for band in range(4):
+        mine = [r for r in runs if r[3] == band]
+        harmonic = math.log(len(mine)) + 1 if mine else 1
+        passed = [b for b in {r[4] for r in mine} if b > 0 and 10 ** (-b * secrets.BIN) * len(mine) * harmonic / sum(r[4] >= b for r in mine) <= 0.01]
+        want |= {r[:3] for r in mine if passed and r[4] >= min(passed)}
+    got = secrets.scan(docs(spark, texts)).collect()
+    assert {(r.doc_id, x.start, x.end) for r in got for x in r.spans if x.kind == "random"} == want and len(want) > 20
+    assert {i for i, *_ in want} >= {len(texts) - 1} and len(texts) - 2 not in {i for i, *_ in want}  # noise of one class is found, one letter is not
 
 
 def test_redact(spark):
