@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm import bpe, minhash_dedup, mixing, quality, secrets
-from strophe.llm.common import materialize
+from strophe.llm.common import drop_scratch, materialize, scratch_tables
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score under 0.5)."""
+    """Drops the documents that the quality classifier rejects (score under 0.5).
+
+    A null text is scored as the empty text; rows with null or repeated ids are scored like any other.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(docs, labels)
-    carried = docs.withColumn("carried_text", F.col("text"))
-    scored = quality.score(carried, model, [c for c in docs.columns if c != "text"] + ["carried_text"])
-    return scored.where("score >= 0.5").select(*[F.col("carried_text").alias("text") if c == "text" else c for c in docs.columns])
+    good = quality.score_of(spark, quality.fit(docs, labels))(F.col("text"))
+    return docs.where(good >= 0.5).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +49,13 @@ STAGES = [("quality classifier", classify), ("near-duplicates", dedup), ("secret
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's scratch tables go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    begun = scratch_tables()
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+        drop_scratch(spark, begun, but=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: No stage but the mixture's counts can be said in SQL.
