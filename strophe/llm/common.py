@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -69,30 +70,59 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bucket(df: DataFrame, key: str, rows_each: int = 4000) -> Column:
-    """A bucket number that rises with the integer column ``key``, about ``rows_each`` rows in each.
+MOST_CUTS = 50_000
 
-    The boundaries are quantiles (a bounded list on the driver: 50,000 at most); nulls come first.
-    The result of whatever uses the buckets must not hang on where the boundaries lie.
+
+def with_range(df: DataFrame, key: str, tie: Column, name: str, rows_each: int = 4000) -> DataFrame:
+    """``df`` with ``name``: a number (bigint) that rises with (key, tie) and has about ``rows_each`` rows, of any table.
+
+    First come quantiles of the integer column ``key`` (a bounded list on the driver: ``MOST_CUTS`` at most; nulls
+    come first); a key that takes more than a quantile has a range to itself. A range of more rows than
+    twice ``rows_each`` is parted further: one of a single key, or of nulls, by ``tie`` (a 64-bit hash, in its
+    own order), one of many keys evenly between its least and greatest. Rows of equal key and tie stay
+    together. The result of whatever uses the ranges must not hang on where they are cut.
     """
     n = df.count()
-    parts = int(min(50_000, max(1, n // rows_each)))
-    cuts: list[int] = []
+    parts = int(min(MOST_CUTS, max(1, n // rows_each)))
+    found: list[int] = []
     if parts > 1:
         found = df.agg(F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
-        cuts = sorted({int(x) for x in found})
+    cuts = sorted({int(x) for x in found} | {int(x) + 1 for x, y in pairwise(found) if x == y})
     bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     # Binary search: the number of cuts that are not above the key.
     higher = lambda acc, s: F.when((acc + s <= len(cuts)) & (F.get(bounds, acc + s - 1) <= F.col(key)), acc + s).otherwise(acc)
     inside = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), higher) if cuts else F.lit(0)
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(inside)
+    first = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(inside)
+    if n <= 2 * rows_each:
+        return df.withColumn(name, first.cast("bigint") * F.lit(1 << 31))
+    at, low, high, ways = (free_name(df, c) for c in ("_at", "_low", "_high", "_ways"))
+    large = df.groupBy(first.alias(at)).agg(F.min(key).alias(low), F.max(key).alias(high), F.count(F.lit(1)).alias(ways)).where(F.col(ways) > 2 * rows_each)
+    large = materialize(large.withColumn(ways, F.expr(f"`{ways}` div {rows_each} + 1")))  # a row per range at most
+    cut = df.withColumn(at, first).join(F.broadcast(large), at, "left")
+    by_tie = F.shiftright((F.shiftright(tie, 33) + F.lit(1 << 30)) * F.col(ways), 31)
+    by_key = F.floor((F.col(key).cast("double") - F.col(low)) / (F.col(high).cast("double") - F.col(low) + 1) * F.col(ways)).cast("bigint")
+    sub = F.when(F.col(ways).isNull(), F.lit(0)).when(F.col(low).isNull() | (F.col(low) == F.col(high)), by_tie).otherwise(F.least(by_key, F.col(ways) - 1))
+    return cut.withColumn(name, F.col(at).cast("bigint") * F.lit(1 << 31) + sub).drop(at, low, high, ways)
+
 
+def range_of(name: str) -> Column:
+    """The first-level range of a number from ``with_range``: at most 2 * ``MOST_CUTS`` of them."""
+    return F.shiftright(name, 31)
 
-def running_offsets(counts: DataFrame, order: list[str], value: str, name: str, within: list[str] = ()) -> DataFrame:
-    """``counts`` (a row per bucket: small) with the sum of ``value`` over the buckets before."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("bigint")))
+
+def running_sums(counts: DataFrame, within: list[str], order: str, group: Column, value: str, name: str) -> DataFrame:
+    """``counts`` with the sum of ``value`` over the rows before in ``order``, in two levels.
+
+    ``group`` rises with ``order``; sums run inside a group, and over the groups' totals.
+    """
+    g, ahead, total = (free_name(counts, c) for c in ("_group", "_ahead", "_total"))
+    cut = counts.withColumn(g, group)
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*within, g).agg(F.sum(value).alias(total))
+    totals = totals.select(*within, g, F.coalesce(F.sum(total).over(before(within, g)), F.lit(0).cast("bigint")).alias(ahead))
+    inside = F.coalesce(F.sum(value).over(before([*within, g], order)), F.lit(0).cast("bigint"))
+    return cut.withColumn(name, inside).join(totals, [*within, g]).withColumn(name, F.col(name) + F.col(ahead)).drop(g, ahead)
 
 
 #: Characters of texts that one numpy step takes at a time (or one text, if it is longer).

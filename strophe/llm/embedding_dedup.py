@@ -5,7 +5,8 @@ or hold null or non-finite components link with nothing, as do those with a null
 different lengths are not compared.
 
 * Equal vectors of a label become one vector with a count (rows are reduced before the shuffle).
-* Each table projects a unit vector to 16 random orthonormal directions, scales them, and decodes
+* Each table projects a unit vector to 16 random orthonormal directions, scales them by ``scale`` times the
+  root of (dimension / 64), so that cells hold the same share of unrelated vectors at any dimension, and decodes
   the two halves to their nearest points of the E8 lattice; the pair of points is the cell. A vector
   is stored in its own cell and probes the ``probes`` cells next nearest to it (one half moved by one
   of the 240 shortest lattice vectors).
@@ -23,6 +24,7 @@ Edge cases: an empty table gives an empty result; repeated vec_ids are separate
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -95,7 +97,7 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: floa
     out = np.empty((n, tables, 1 + probes), np.int64)
     around = neighbours()
     for t, p in enumerate(projections(dim, tables, seed)):
-        y = x @ p * scale
+        y = x @ p * (scale * math.sqrt(max(dim, 8 * HALVES) / 64))
         halves = [decode(y[:, 8 * h : 8 * h + 8]) for h in range(HALVES)]
         point = np.hstack(halves)
         out[:, t, 0] = _key(point)

@@ -6,8 +6,8 @@ whose inverse document frequency does. A fingerprint hashes the sorted lexicon t
 once, and once more for each randomised subset of the lexicon: seven families of nested subsets that
 keep a half, a quarter, ... of the terms by bits of the term's hash. There are nine levels at least, and
 as many more as the longest text needs (``levels_for``), so that some subsets stay small enough to agree
-however many terms differ. Fingerprints to be compared need equal ``levels``. A document with
-fewer than ``least_terms`` lexicon terms is fingerprinted over all its terms.
+however many terms differ. Fingerprints to be compared need equal ``levels``. A document without a
+lexicon term has n = 0 and the hashes of its whole text: it is like texts equal to it alone.
 
 Likeness of two fingerprints: a subset that keeps a share p of the lexicon agrees with chance
 (1 - p)^D if D terms differ, so the number of differing hashes gives an estimate of D, and with the
@@ -19,7 +19,7 @@ they are looked up in an array that goes with the plan; beyond, by a shuffled jo
 
 Edge cases: a null text is the empty text, which has no terms and a fingerprint of its own (likeness
 1 to itself); equal texts have equal fingerprints; null keys come first in the order of documents,
-rows with equal keys are ordered by text; one document is its own next; an empty table gives an
+rows with equal keys are ordered by a hash of the text; one document is its own next; an empty table gives an
 empty result.
 """
 
@@ -28,10 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import free_name, materialize, range_bucket
+from strophe.llm.common import free_name, materialize, range_of, with_range
 
 LOW, HIGH = 0.001, 0.1
-LEAST_TERMS = 5
 INLINE_TERMS = 1 << 20
 FAMILIES, LEVELS = 7, 9
 MOST_LEVELS = 48  # of the table of estimates: twice the terms of 2^31 characters need fewer
@@ -87,15 +86,15 @@ def _without(family: int, level: int):
 
 
 def hash_subsets(df: DataFrame, columns: list[str], levels: int = LEVELS) -> DataFrame:
-    """Replaces each array of term hashes by struct<n, hashes>: the fingerprint's parts.
+    """Replaces each array of term hashes and its number ``_n`` by struct<n, hashes>: the fingerprint's parts.
 
     A level's subsets are made from those of the level before, one projection each, so that each
     family costs twice its terms and not once per subset.
     """
-    kept = [c for c in df.columns if c not in columns]
+    kept = [c for c in df.columns if c not in columns and c not in [f"{c}_n" for c in columns]]
     low16 = lambda a: F.xxhash64(a).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    state = df.select(*kept, *[F.sort_array(c).alias(c) for c in columns])
-    state = state.select(*kept, *[F.size(c).alias(f"{c}_n") for c in columns], *[F.array(low16(F.col(c))).alias(f"{c}_h") for c in columns], *[F.col(c).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)])
+    state = df.select(*kept, *[f"{c}_n" for c in columns], *[F.sort_array(c).alias(c) for c in columns])
+    state = state.select(*kept, *[f"{c}_n" for c in columns], *[F.array(low16(F.col(c))).alias(f"{c}_h") for c in columns], *[F.col(c).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)])
     numbers = [f"{c}_n" for c in columns]
     for level in range(levels):
         cut = [F.filter(f"{c}_{f}", _without(f, level)).alias(f"{c}_{f}") for c in columns for f in range(FAMILIES)]
@@ -131,41 +130,46 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, key: str, value: str, name: str, rows_each: int = 128) -> tuple[DataFrame, Window, str, str]:
-    """``df`` with ``name``: ``value`` of the next row by ``key`` (then by ``value``); after the last comes the first.
+    """``df`` with ``name``: ``value`` of the next row by ``key`` (then by a hash of ``value``); after the last comes the first.
 
-    Rows are dealt by ranges of the key (one shuffle); a range's last row gets its next from a table
-    with one row per range. Also returned: the window, the range's column, and the column that is
+    Rows are dealt by ranges of that order (one shuffle); a range's last row gets its next from the first
+    row of the range after it. Also returned: the window, the range's column, and the column that is
     true for a range's last row.
     """
-    bucket, after, last = (free_name(df, c) for c in ("_bucket", "_after", "_last"))
-    cut = df.withColumn(bucket, range_bucket(df, key, rows_each))
-    # Least key per range first (cheap), then the least value of the rows that have it.
-    low, lowest = free_name(cut, "_low"), free_name(cut, "_lowest")
-    least = cut.groupBy(F.col(bucket).alias(low)).agg(F.min(key).alias(lowest))
-    firsts = cut.join(F.broadcast(least), F.col(key).eqNullSafe(F.col(lowest)) & (F.col(bucket) == F.col(low)))
-    firsts = firsts.groupBy(bucket).agg(F.min(value).alias("head"))
-    whole = Window.orderBy(bucket)  # a row per range: 50,001 at most
-    firsts = firsts.select((F.col(bucket)).alias(bucket), F.coalesce(F.lead("head").over(whole), F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(after))
-    order = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), value)
-    led = cut.withColumn(name, F.lead(value).over(order)).withColumn(last, F.lead(F.lit(1)).over(order).isNull())
-    return led.join(firsts.hint("merge"), bucket).withColumn(name, F.when(F.col(last), F.col(after)).otherwise(F.col(name))).drop(after), order, bucket, last
-
-
-def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", words: DataFrame | None = None, least_terms: int = LEAST_TERMS, levels: int | None = None, **band) -> DataFrame:
+    bucket, last, tie, first, after, head = (free_name(df, c) for c in ("_bucket", "_last", "_tie", "_first", "_after", "_head"))
+    cut = with_range(df, key, F.xxhash64(value), bucket, rows_each).withColumn(tie, F.xxhash64(value))
+    order = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), tie)
+    led = cut.withColumn(name, F.lead(value).over(order)).withColumn(last, F.lead(F.lit(1)).over(order).isNull()).withColumn(first, F.lag(F.lit(1)).over(order).isNull())
+    heads = led.where(first).select(F.col(bucket).alias(after), F.col(value).alias(head))
+    # The range after each, among the ranges alone: in its first-level range, else the first of the next one.
+    ranges = materialize(cut.select(bucket).distinct())
+    inside = Window.partitionBy(range_of(bucket)).orderBy(bucket)
+    firsts = ranges.groupBy(range_of(bucket).alias("_r")).agg(F.min(bucket).alias("_f"))
+    whole = Window.orderBy("_r")  # a row per first-level range: a bounded number
+    firsts = firsts.select("_r", F.coalesce(F.lead("_f").over(whole), F.first("_f").over(whole)).alias("_f"))
+    follows = ranges.select(bucket, F.lead(bucket).over(inside).alias(after), range_of(bucket).alias("_r")).join(F.broadcast(firsts), "_r")
+    follows = follows.select(bucket, F.coalesce(after, "_f").alias(after)).join(heads, after).select(bucket, head)
+    led = led.join(follows.hint("merge"), bucket).withColumn(name, F.when(F.col(last), F.col(head)).otherwise(F.col(name)))
+    return led.drop(head, first), order, bucket, last
+
+
+def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", words: DataFrame | None = None, levels: int | None = None, **band) -> DataFrame:
     """``docs`` with the fingerprint of each text as struct<n, hashes> in ``name``."""
     levels = levels_for(docs, text_col) if levels is None else levels
     words = lexicon(docs, text_col, **band) if words is None else words
-    df = docs.withColumn(name, terms(F.coalesce(F.col(text_col), F.lit(""))))
-    return hash_subsets(_cut(df, [name], words, least_terms), [name], levels)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return hash_subsets(_cut(docs.withColumn(name, terms(text)), {name: F.xxhash64(text)}, words), [name], levels)
 
 
-def _cut(df: DataFrame, columns: list[str], words: DataFrame, least_terms: int) -> DataFrame:
+def _cut(df: DataFrame, texts: dict[str, Column], words: DataFrame) -> DataFrame:
+    """Cuts arrays of term hashes to the lexicon, with their numbers ``_n``; a text without lexicon terms has its own hash (the values of ``texts``)."""
     look = lexicon_lookup(words)
     if look is None:
-        df = keep_joined(df, columns, words)
+        df = keep_joined(df, [*texts], words)
     else:
-        df = df.withColumns({c + "_in": look(F.col(c)) for c in columns})
-    return df.withColumns({c: F.when(F.size(c + "_in") >= least_terms, F.col(c + "_in")).otherwise(F.col(c)) for c in columns}).drop(*[c + "_in" for c in columns])
+        df = df.withColumns({c + "_in": look(F.col(c)) for c in texts})
+    df = df.withColumns({c + "_n": F.size(c + "_in") for c in texts})
+    return df.withColumns({c: F.when(F.col(c + "_n") > 0, F.col(c + "_in")).otherwise(F.array(t)) for c, t in texts.items()}).drop(*[c + "_in" for c in texts])
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +179,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next_text, length(text) div 4)"))
     led = led.withColumn("edited", edited)
     after = F.when(F.col(last), terms(F.col("next_text"))).otherwise(F.array().cast("array<bigint>"))  # the other rows get theirs from the next row
-    made = led.select("doc_id", "text", bucket, last, F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("edit"), after.alias("after"))
-    made = hash_subsets(_cut(made, ["own", "edit", "after"], words, LEAST_TERMS), ["own", "edit", "after"], levels_for(docs))
+    digests = [F.xxhash64(c).alias(f"{c}_x") for c in ("text", "edited", "next_text")]
+    made = led.select("doc_id", bucket, last, "_tie", *digests, F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("edit"), after.alias("after"))
+    made = _cut(made, {"own": F.col("text_x"), "edit": F.col("edited_x"), "after": F.col("next_text_x")}, words)
+    made = hash_subsets(made, ["own", "edit", "after"], levels_for(docs))
     following = F.when(F.col(last), F.col("after")).otherwise(F.lead("own").over(order))
     made = made.withColumn("following", following)
     return made.select(

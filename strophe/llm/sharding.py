@@ -1,7 +1,8 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get numbers 0..n-1 by ascending key (ties by the other order columns), without a sort in one
-task: the key's range is cut into buckets, rows are numbered within a bucket, and the buckets' sizes
+Rows get numbers 0..n-1 by ascending key (ties by a hash of the other order columns, then by these),
+without a sort in one task: rows are dealt by ranges of all of that, so that rows of one key, nulls too,
+and rows repeated in full are parted as well; they are numbered within a range, and the ranges' sizes
 are summed up. A keyed Feistel network permutes the least power of four that is at least n; a value
 of n or more is put through again until it falls under n (cycle walking), which makes the whole a
 permutation of 0..n-1. Place p belongs to shard ``p mod shards`` at slot ``p div shards``: shard
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from strophe.llm.common import free_name, materialize, mix64, range_bucket, running_offsets
+from strophe.llm.common import free_name, materialize, mix64, shuffle_width
 
 ROUNDS = 6
 
@@ -61,15 +62,23 @@ def row_at(places: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return _walk(places, n, seed, True)
 
 
-def number_rows(df: DataFrame, key: str, ties: list[str], name: str = "row_number") -> DataFrame:
-    """``df`` with global row numbers by the integer column ``key`` and then ``ties``; a shuffle of its rows by bucket."""
-    bucket, off, within = (free_name(df, c) for c in ("_bucket", "_offset", "_within"))
-    cut = df.withColumn(bucket, range_bucket(df, key))
-    order = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), *ties)
-    # One row per bucket, 50,001 at most: broadcast.
-    sizes = running_offsets(cut.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), [bucket], "n", off).select(bucket, off)
-    numbered = cut.withColumn(within, F.row_number().over(order).cast("bigint") - 1)
-    return numbered.join(F.broadcast(sizes), bucket).withColumn(name, F.col(off) + F.col(within)).drop(bucket, off, within)
+def number_rows(df: DataFrame, key: str, ties: list[str], name: str = "row_number", rows_each: int = 1 << 20) -> DataFrame:
+    """``df`` with global row numbers by ``key`` (nulls first), a hash of ``ties`` and ``ties``; one shuffle by ranges.
+
+    The sorted rows are written to shared scratch; ``df`` should be cheap to read twice (ranges are sampled).
+    """
+    tie, place, uid, part, off = (free_name(df, c) for c in ("_tie", "_place", "_uid", "_part", "_offset"))
+    ranges = max(shuffle_width(df.sparkSession), df.count() // rows_each + 1)
+    order = [F.col(key).asc_nulls_first(), F.col(tie), *ties, F.col(uid)]
+    rows = df.withColumn(tie, F.xxhash64(*ties) if ties else F.lit(0)).withColumn(uid, F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop(tie, uid)
+    # The id's upper bits are the range, its lower 33 bits the row's number within it.
+    rows = materialize(rows.withColumn(place, F.monotonically_increasing_id())).withColumn(part, F.shiftright(place, 33))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per range: one to a million rows
+    sizes = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias(off))
+    numbered = rows.join(F.broadcast(sizes), part)
+    return numbered.withColumn(name, F.col(off) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, off, place)
 
 
 def shard(df: DataFrame, key: str = "doc_id", ties: list[str] | None = None, shards: int = 8, seed: int = 0) -> DataFrame:

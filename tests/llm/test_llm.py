@@ -6,12 +6,14 @@ import json
 import math
 import random
 import re
+import struct
 from collections import Counter
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strophe.llm import bpe, common, embedding_dedup, fingerprints, minhash_dedup, mixing, quality, secrets, sharding, token_counts, url_filter
@@ -85,6 +87,83 @@ def test_joined_lexicon_equals_inline(spark):
     assert fingerprints.lexicon_lookup(words, 1) is None
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(x, seed=42):
+    """xxhash64 as the engine makes it: a text's bytes, or a 64-bit number, or numbers one after the other."""
+    if isinstance(x, list):
+        for v in x:
+            seed = spark_hash(v, seed)
+        return seed
+    data = x.encode() if isinstance(x, str) else struct.pack("<q", x)
+    return signed(xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1))
+
+
+def plain_fingerprint(words, text, levels):
+    found = sorted(h for h in {spark_hash(w) for w in re.findall(r"[^\W_]+", text.lower())} if h in words)
+    kept = found or [spark_hash(text)]
+    hashes = [spark_hash(kept) & 0xFFFF]
+    rest = [kept] * fingerprints.FAMILIES
+    for level in range(levels):
+        word, bit = divmod(level, fingerprints.LEVELS)
+        for f in range(fingerprints.FAMILIES):
+            salted = lambda h, word=word: signed(xxhash.xxh64_intdigest(struct.pack("<i", word), spark_hash(h) & (1 << 64) - 1)) if word else h
+            rest[f] = [h for h in rest[f] if not salted(h) >> (bit + f * fingerprints.LEVELS) & 1]
+            hashes.append(spark_hash(rest[f]) & 0xFFFF)
+    return len(found), hashes
+
+
+def plain_likeness(a, b):
+    differ = sum(x != y for x, y in zip(a[1], b[1], strict=True))
+    if not differ:
+        return 1.0
+    at = lambda d: 1 + fingerprints.FAMILIES * sum(1 - (1 - 0.5**j) ** d for j in range(1, fingerprints.MOST_LEVELS + 1))
+    lo, hi = 0.0, 1e12
+    for _ in range(120):
+        lo, hi = ((lo + hi) / 2, hi) if at((lo + hi) / 2) < differ else (lo, (lo + hi) / 2)
+    d = max(1.0, hi)
+    return max(0.0, (a[0] + b[0] - d) / (a[0] + b[0] + d))
+
+
+@pytest.mark.parametrize("case", ["plain", "nulls", "one", "empty"])
+def test_op1_against_a_plain_one(spark, tmp_path, case):
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice([3, 40, 200]), 120) for _ in range(60)] + ["a b c", "", None, "Zwei Wörter", "zwei wörter", "unique1 unique2"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    if case == "nulls":  # null, repeated and whole rows repeated
+        rows = [(None if i % 3 == 0 else i // 2, t) for i, t in rows] + rows[:3]
+    rows = rows[:1] if case == "one" else [] if case == "empty" else rows
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("bucket", F.lit("clash")).write.parquet(path + "/documents.parquet")
+    got = [r.asDict() for r in fingerprints.op1_fingerprints(spark, path).collect()]
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])))
+    n = len(rows)
+    df = Counter(h for _, t in rows for h in {spark_hash(w) for w in re.findall(r"[^\W_]+", t.lower())})
+    words = {h for h, c in df.items() if fingerprints.LOW * n <= c <= max(1.0, fingerprints.HIGH * n)}
+    levels = max(9, (max((len(t) for _, t in rows), default=0) + 1).bit_length() + 3)
+    want = []
+    for (k, t), (_, nxt) in zip(rows, [*rows[1:], *rows[:1]], strict=True):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        own, edit, follow = (plain_fingerprint(words, x, levels) for x in (t, edited, nxt))
+        show = lambda f: f"{f[0]}:" + "".join(f"{h:04x}" for h in f[1])
+        want.append((k is not None, k or 0, hashlib.sha256(edited.encode()).hexdigest(), len(t), show(own), show(edit), plain_likeness(own, edit), plain_likeness(own, follow)))
+    got = [(r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got]
+    assert [g[:6] for g in sorted(got)] == [w[:6] for w in sorted(want)]
+    assert [x for g in sorted(got) for x in g[6:]] == pytest.approx([x for w in sorted(want) for x in w[6:]], abs=1e-9)
+
+
+def test_short_texts_keep_their_likeness(spark):
+    """From five lexicon terms to four, the other four still count; without any, only equal texts are alike."""
+    texts = ["aa bb cc dd ee", "aa bb cc dd", "rare1", "rare2", "rare1", "aa bb cc dd ee zz", "aa bb cc dd ff"]
+    df = fingerprints.fingerprint(docs(spark, texts), words=spark.createDataFrame([(w,) for w in "aa bb cc dd ee ff".split()], "w string").select(F.xxhash64("w").alias("h")))
+    pair = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprints.likeness(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("s"))
+    s = {(r.i, r.j): r.s for r in pair.collect()}
+    assert s[0, 1] > 0.5 and s[0, 5] == 1 and s[2, 4] == 1 and s[2, 3] == 0 and s[0, 2] == 0
+
+
 def test_op1(spark):
     got = collected(fingerprints.op1_fingerprints(spark, SF))
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by doc_id").fetchall()
@@ -165,6 +244,74 @@ def test_quality_edges(spark):
     assert quality.fit(d.limit(0), none)[0].shape == (1 << quality.BITS,)
 
 
+def plain_features(text, bits=16):
+    """The features' buckets, one at a time."""
+    m32 = (1 << 32) - 1
+    codes = [ord(c) for c in text]
+    mixed = []
+    for c in codes:
+        x = c * 0x9E3779B1 & m32
+        mixed.append(x ^ x >> 15)
+    out = []
+    for k in (3, 4, 5):
+        for i in range(len(codes) - k + 1):
+            h = mixed[i]
+            for x in mixed[i + 1 : i + k]:
+                h = (h * 0x01000193 + x) & m32
+            out.append((h * 0x85EBCA6B & m32) >> 32 - bits)
+    words, word = [], None
+    for c, x in zip([*codes, 32], [*mixed, 0], strict=True):
+        if c <= 32 or c in (0xA0, 0x3000):
+            words += [word[0]] if word else []
+            word = None
+        else:
+            total, place = word or (0, 0)
+            word = ((total + ((x * (2 * place + 1) & m32) ^ x >> 7)) & m32, place + 1)
+    out += [(w * 0xC2B2AE35 & m32) >> 32 - bits for w in words]
+    for a, b in itertools.pairwise(words):
+        two = 0x165667B1 if a == b else (a * 0x27D4EB2F + b) & m32
+        out.append((two * 0x85EBCA6B & m32) >> 32 - bits)
+    return out
+
+
+def test_features_against_plain_ones():
+    rng = random.Random(9)
+    for t in [t or "" for t in ODD] + [prose(rng, 30), "same same same", " two  blanks ", "ab"]:
+        assert Counter(quality.features(quality.codes_of(t)).tolist()) == Counter(plain_features(t))
+
+
+def test_one_step_follows_the_gradient():
+    """One step of one row: the output layer, the bias and the vectors against differences of the loss."""
+    dim, bits, rate = 4, 6, 0.2
+    buckets, counts = np.array([3, 9, 40]), np.array([1, 2, 1])
+    rows = [(buckets, counts, 1), (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)]
+    weights, bias = quality.train(rows, bits, dim, epochs=1, rate=rate, seed=5)
+    rng = np.random.default_rng(5)
+    vectors = ((rng.random((1 << bits, dim), np.float32) - 0.5) / dim).astype(float)
+    order = rng.permutation(2)
+    step = rate * (1 - list(order).index(0) / 2)
+    share = counts / counts.sum()
+
+    def loss(out, b, mean):
+        z = out @ mean + b
+        return np.log(np.exp(z).sum()) - z[1]
+
+    mean, out, b = share @ vectors[buckets], np.zeros((2, dim)), np.log([0.5, 0.5]) / 2
+    slope = lambda f, x: np.array([(f(x + e) - f(x - e)) / 2e-6 for e in np.eye(len(x)) * 1e-6])
+    new_out = out - step * slope(lambda o: loss(o.reshape(2, dim), b, mean), out.ravel()).reshape(2, dim)
+    new_bias = b - 0.1 * step * slope(lambda x: loss(out, x, mean), b)
+    vectors[buckets] -= step * np.minimum(share * 50, 1)[:, None] * slope(lambda m: loss(out, b, m), mean)
+    assert weights == pytest.approx(vectors @ (new_out[1] - new_out[0]), abs=1e-5) and bias == pytest.approx(new_bias[1] - new_bias[0], abs=1e-5)
+
+
+def test_training_takes_one_text_an_id(spark):
+    rows = [(1, "good words here")] * 300 + [(1, "other text"), (2, "bad bad bad"), (None, "x")]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 0), (7, 1)], "doc_id int, quality int")
+    assert quality.fit(d, labels)[0].tolist() == quality.fit(d.dropDuplicates(), labels)[0].tolist()
+    assert quality.score(d, quality.fit(d, labels)).count() == len(rows)
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 
@@ -260,6 +407,23 @@ def test_embeddings_against_brute_force(spark, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 8, 32, 64, 128, 384, 768])
+def test_cells_at_any_dimension(dim):
+    """Pairs of cosine 0.93 share a cell (recall), unrelated vectors do not crowd one."""
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((600, dim)))
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * side
+    ca, cb = embedding_dedup.cells(a), embedding_dedup.cells(b)
+    met = ((ca[:, :, :1] == cb).any(2) | (cb[:, :, :1] == ca).any(2)).any(1)
+    assert met.mean() >= 0.97
+    if dim >= 32:
+        own = embedding_dedup.cells(unit(rng.standard_normal((2000, dim))), probes=0)
+        assert max(Counter(own[:, t, 0].tolist()).most_common(1)[0][1] for t in range(own.shape[1])) <= 0.03 * 2000
+
+
 # -- 6 ---------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://EXAMPLE.org/es/1", "https://a.example.org/en/12?x", "http://example.org/en/2", "http://x.com/fr/1#t", "http://x.com/de/1", "http://x.com", "http://notexample.org/es/", "ftp://org?q", "http://x.com/en/1", "a://b://c/fr/"]
@@ -446,6 +610,32 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), ["doc_id"])[1].count() == 0
 
 
+def test_golden_points(spark):
+    ids = [0, 1, 2, 3, 1000, 10**9, 10**12 + 7, 2**45 + 11, 2**60 + 1]
+    got = spark.createDataFrame([(i,) for i in ids], "id bigint").select(mixing.golden_points(F.col("id")).alias("p")).collect()
+    assert [r.p for r in got] == [(2 * i + 1) * mixing.GOLDEN % (1 << 62) for i in ids]
+    assert mixing.GOLDEN / 2**61 == pytest.approx((math.sqrt(5) - 1) / 2, abs=1e-15)
+
+
+@pytest.mark.parametrize("case", ["nulls", "empty", "one"])
+def test_op8_equals_its_sql(spark, tmp_path, case):
+    rng = random.Random(18)
+    rows = [(i % 50 if i % 3 else None, prose(rng, rng.randrange(0, 30)) if i % 7 else rng.choice(["", None, "twice the same"]), rng.choice(["a", "b", "\u00e9", None])) for i in range(400)]
+    rows = [*rows, *rows[:30]] if case == "nulls" else rows[:1] if case == "one" else []
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("size", F.lit("clash")).withColumn("code", F.lit(-1)).write.parquet(path + "/documents.parquet")
+    got = mixing.op8_mixing(spark, path).collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{path}/documents.parquet/*.parquet')")
+    want = con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.OP8_SQL})").fetchall()
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert len(got) == len(rows)
+    # Rows of one id, source and size share what they take in any order of the rows that are equal in full.
+    assert [x for r in sorted(map(tuple, got), key=key) for x in r] == pytest.approx([x for r in sorted(want, key=key) for x in r])
+    whole = mixing.mix_documents(spark.read.parquet(path + "/documents.parquet"))
+    assert whole.columns == ["doc_id", "text", "source", "size", "code"] and whole.count() >= len(rows) // 3
+
+
 @pytest.mark.parametrize("small", [1, 20, 150, 300])
 def test_schedule_of_a_rare_source(spark, small):
     sizes = [20_000_000, 3_000_000, small, 0, 5000]
@@ -481,6 +671,44 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def plain_place(x, n, seed):
+    """The network once more, in whole numbers: six rounds over two halves, walked until it is under n."""
+    m64 = (1 << 64) - 1
+
+    def mixed(z):
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & m64
+        return z ^ z >> 31
+
+    bits = next(b for b in range(1, 40) if 4**b >= n)
+    while True:
+        left, right = x >> bits, x % (1 << bits)
+        for r in range(6):
+            key = (seed * 6 + r + 1) * 0x9E3779B97F4A7C15 & m64
+            left, right = right, left ^ mixed(right ^ key) % (1 << bits)
+        x = left << bits | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 100, 257, 5000])
+def test_network_against_a_plain_one(n):
+    rows = np.arange(n)
+    assert sharding.place_of(rows, n, 3).tolist() == [plain_place(x, n, 3) for x in range(n)]
+
+
+def test_row_numbers_of_hot_keys(spark):
+    rows = [(None, f"t{i % 40}") for i in range(300)] + [(7, "same")] * 200 + [(i, "x") for i in range(100)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "k bigint, text string").repartition(5)
+    got = sorted(sharding.number_rows(df, "k", ["text"], "no", rows_each=50).collect(), key=lambda r: r.no)
+    assert [r.no for r in got] == list(range(600))
+    keys = [(r.k is not None, r.k or 0) for r in got]
+    assert keys == sorted(keys)
+    again = sorted(sharding.number_rows(df.repartition(3), "k", ["text"], "no", rows_each=90).collect(), key=lambda r: r.no)
+    assert [(r.k, r.text) for r in got] == [(r.k, r.text) for r in again]
+
+
 def test_op9(spark):
     got = sharding.op9_sharding(spark, SF).collect()
     counts = Counter(r.shard for r in got)
@@ -632,12 +860,44 @@ def test_components_of_long_chains(spark):
     assert got == {x: min(ids) for x in ids} | dict.fromkeys(range(700), 0)
 
 
-@pytest.mark.parametrize("n", [0, 1, 999, 30000])
-def test_range_bucket(spark, n):
-    d = spark.range(n).select((F.col("id") * 7 % max(1, n // 3 + 1)).alias("k"))
-    got = d.withColumn("b", common.range_bucket(d, "k", 50)).collect()
-    ordered = [r.b for r in sorted(got, key=lambda r: r.k)]
-    assert ordered == sorted(ordered) and (n < 1000 or len(set(ordered)) > 5)
+@pytest.mark.parametrize("case", ["even", "hot", "nulls", "gap", "few", "none"])
+def test_with_range(spark, case, monkeypatch):
+    if case == "gap":
+        monkeypatch.setattr(common, "MOST_CUTS", 4)  # ranges of many keys are parted as well
+    n = {"few": 60, "none": 0}.get(case, 30000)
+    key = {"hot": F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000), "nulls": F.when(F.col("id") % 3 != 0, F.col("id") % 1000)}.get(case, F.col("id") * 7 % 29989)
+    d = spark.range(n).select(key.cast("bigint").alias("k"), F.xxhash64("id").alias("t"), F.lit(1).alias("_at"))
+    got = common.with_range(d, "k", F.col("t"), "b", 50)
+    assert got.columns == ["k", "t", "_at", "b"]
+    rows = sorted(got.collect(), key=lambda r: (r.k is not None, r.k or 0, r.t))
+    ordered = [r.b for r in rows]
+    assert ordered == sorted(ordered) and len(rows) == n
+    sizes = Counter(ordered)
+    assert n < 1000 or (max(sizes.values()) <= 250 and len(sizes) > 200)
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(c, i, rng.randrange(9)) for c in (0, 1) for i in rng.sample(range(500), 120)]
+    got = common.running_sums(spark.createDataFrame(rows, "code int, piece int, n int"), ["code"], "piece", F.shiftright("piece", 5), "n", "before").collect()
+    assert {(r.code, r.piece): r.before for r in got} == {(c, i): sum(n for d, j, n in rows if d == c and j < i) for c, i, _ in rows}
+
+
+def test_scratch(spark, monkeypatch):
+    begun = common.scratch_tables()
+    kept = common.materialize(spark.range(3))
+    last = common.materialize(spark.range(4))
+    common.drop_scratch(spark, begun, but=1)
+    assert last.count() == 4 and common.scratch_tables() == begun + 1
+    with pytest.raises(Exception, match="(?i)path|file"):
+        kept.count()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: "")})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_path(Cluster)
 
 
 def test_pipeline(spark):
@@ -658,3 +918,23 @@ def test_pipeline(spark):
     mixed = secrets.scan(before).where("n_assign + n_access + n_hex > 0").count()
     assert mixed == 0
     assert json.dumps([n for n, _ in p.STAGES]) and p.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_pipeline_edges(spark, tmp_path, case):
+    import corpus_pipeline as p
+
+    path = str(tmp_path / "sf")
+    rows = [] if case == "empty" else [(None if i % 3 else i, t, None, None if i % 2 else "a", None) for i, t in enumerate([*ODD, *ODD, "password = abcdef12 in some good words"])]
+    d = spark.createDataFrame(rows, DOC).withColumn("_rid", F.lit("clash"))
+    d.write.parquet(path + "/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(path + "/labels.parquet")
+    before = spark.read.parquet(path + "/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        after = common.materialize(stage(spark, before, path))
+        assert after.columns == d.columns
+        before = after
+    assert p.run(spark, path).count() == before.count()
+    everything = d.select("doc_id", "text").collect()
+    kept = p.dedup(spark, d, path).collect()
+    assert len({r.text or "" for r in kept}) == len(kept) == len({r.text or "" for r in everything})
