@@ -29,9 +29,11 @@ from strophe.llm.common import map_texts
 
 #: Pieces whose ids a worker keeps for later batches: the first so many it meets, among them the
 #: frequent ones; others are merged anew in each batch. Bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Pieces longer than this many bytes get a tree of their own.
 LONG_PIECE = 64
+#: Cells of one step over a table of pieces: rows times width.
+CELLS = 1 << 18
 NONE = np.int64(1) << 40
 
 
@@ -205,8 +207,9 @@ class Bpe:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for width in (4, 8, 16, 32, 64):
             rows = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 4 else 0)))
-            for a in range(0, len(rows), 20_000):
-                part = rows[a : a + 20_000]
+            step = CELLS // width
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
                 for k, ids in zip(part.tolist(), self._rows([pieces[i] for i in part], sizes[part], width), strict=True):
                     out[k] = ids
         return out

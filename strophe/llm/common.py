@@ -6,6 +6,7 @@ executor can reach, so a lost executor costs a reread and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -129,6 +130,15 @@ def running_sums(counts: DataFrame, within: list[str], order: str, group: Column
 CHARS = 500_000
 
 
+def release_memory() -> None:
+    """Hands memory that a worker has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def text_runs(column, chars: int = CHARS) -> Iterator[list[str]]:
     """The texts of an Arrow column (null: empty) in lists that end where ``chars`` is passed.
 
@@ -150,6 +160,8 @@ def text_runs(column, chars: int = CHARS) -> Iterator[list[str]]:
     finally:
         if on:
             gc.enable()
+        del texts
+        release_memory()
 
 
 def map_texts(df: DataFrame, make: Callable[[list[str]], dict], schema: str, keep: list[str], text_col: str = "text") -> DataFrame:
