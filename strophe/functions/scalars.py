@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def millis(x: Column) -> Column:
-    """Seconds to three decimals, halves up: the same steps in any IEEE engine."""
-    return F.floor(x * 1000 + 0.5) / 1000
+    """Seconds to three decimals, halves to the even digit: the same steps in any IEEE engine."""
+    return F.rint(x * 1000) / 1000
 
 
 def upper_median(values: Column) -> Column:
@@ -17,8 +17,8 @@ def upper_median(values: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """``H:MM:SS.cc`` of a time, not under 0, with the carry of rounded centiseconds."""
-    cs = F.floor(F.greatest(seconds, F.lit(0.0)) * 100 + 0.5).cast("bigint")
+    """``H:MM:SS.cc`` of a time, not under 0, with the carry of centiseconds rounded halves to even."""
+    cs = F.rint(F.greatest(seconds, F.lit(0.0)) * 100).cast("bigint")
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
@@ -47,9 +47,13 @@ def pair_hash(f1: Column, f2: Column, dt: Column) -> Column:
     return F.shiftleft(f1.bitwiseAND(F.lit(0x1FF)), 16).bitwiseOR(F.shiftleft(f2.bitwiseAND(F.lit(0x1FF)), 7)).bitwiseOR(dt.bitwiseAND(F.lit(0x7F)))
 
 
+#: Label, least share and least lead over the next.
+CONFIDENCE = (("high", 0.90, 0.80), ("medium", 0.70, 0.40))
+
+
 def confidence(share: Column, lead: Column) -> Column:
-    """high: 0.90 and ahead by 0.80; medium: 0.70 and 0.40; else uncertain."""
-    return F.when((share >= 0.90) & (lead >= 0.80), "high").when((share >= 0.70) & (lead >= 0.40), "medium").otherwise("uncertain")
+    """The first label of ``CONFIDENCE`` that share and lead reach, else uncertain."""
+    return F.coalesce(*[F.when((share >= least) & (lead >= ahead), name) for name, least, ahead in CONFIDENCE], F.lit("uncertain"))
 
 
 def log_softmax(scores: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import hashlib
+import json
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from strophe.functions.text import fold, norm_title
 
@@ -102,12 +107,15 @@ def plausible(candidates: DataFrame, low: float = 60, high: float = 600, want: f
 def manual_overrides(table: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(by line and surface, by surface alone) of the rows of ``table`` that a user changed.
 
-    ``table``: line, flag, surface, reading; ``baseline``: line, surface, reading as written. A surface
-    stands for itself if it is in one row of the table and that row was changed.
+    ``table``: line, flag, surface, reading and perhaps ord (else as read); ``baseline``: line, surface,
+    reading as written. Of rows that share line and surface the last one counts. A surface stands for itself
+    if it is in one row of the table and that row was changed.
     """
     b = baseline.select("line", "surface", F.col("reading").alias("_was"))
-    changed = table.join(b, ["line", "surface"], "left").where(~F.col("reading").eqNullSafe(F.col("_was")))
-    by_line = changed.select("line", "surface", "reading").dropDuplicates(["line", "surface"])
+    written = table.where(F.col("reading").cast("string") != "")
+    changed = written.join(b, ["line", "surface"], "left").where(~F.col("reading").eqNullSafe(F.col("_was")))
+    last = F.col("ord") if "ord" in table.columns else F.monotonically_increasing_id()
+    by_line = changed.withColumn("_ord", last).groupBy("line", "surface").agg(F.max_by("reading", "_ord").alias("reading"))
     rows = table.groupBy("surface").agg(F.count(F.lit(1)).alias("_rows"))
     one = changed.groupBy("surface").agg(F.min("reading").alias("reading"), F.count_distinct("reading").alias("_values"))
     by_surface = one.join(rows, "surface").where("_rows = 1 and _values = 1").select("surface", "reading")
@@ -118,6 +126,73 @@ def valid_reading(reading: Column) -> Column:
     return F.coalesce(reading.rlike(r"^[ぁ-ゖゝゞー\s]+$"), F.lit(False))
 
 
+def invalid_overrides(table: DataFrame, baseline: DataFrame) -> DataFrame:
+    """line, surface, reading, error: rows that a user changed to something that is no reading; callers stop on any."""
+    bad = manual_overrides(table, baseline)[0].where(~valid_reading(F.col("reading")))
+    return bad.select("line", "surface", "reading", F.format_string("row %s: not hiragana and blanks alone", F.col("line").cast("string")).alias("error"))
+
+
+def unite(providers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(rows of all providers that answer, in their order; name -> ok or the failure's kind): one that fails is left out."""
+    found, status = None, {}
+    for i, (name, ask) in enumerate(providers.items()):
+        try:
+            got = ask()
+        except Exception as e:  # a provider may fail in any way
+            status[name] = type(e).__name__
+            continue
+        status[name] = "ok"
+        got = got.withColumn("ord", F.lit(i).cast("bigint") * F.lit(1 << 40) + F.col("ord"))
+        found = got if found is None else found.unionByName(got)
+    return found, status
+
+
+def search_themes(providers: dict[str, Callable[[], DataFrame]], query: str, kind: str | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Themes of all providers, one a title, of the kind if there are any, ranked for the query."""
+    found, status = unite(providers)
+    return (None if found is None else rank_themes(filter_kind(dedupe_first(found), kind), query)), status
+
+
+def first_tried(candidates: DataFrame, keys: list[str], order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` candidates of each key, numbered by ``try_no``."""
+    out = candidates.withColumn("try_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return out.where(F.col("try_no") <= most)
+
+
+@pandas_udf(StringType())
+def array_identity(samples: pd.Series) -> pd.Series:
+    """SHA-256 of a waveform: its shape as text and its samples as 32-bit floats."""
+    def one(x):
+        x = np.ascontiguousarray([] if x is None else x, np.float32)
+        return hashlib.sha256(str(x.shape).encode() + x.astype("<f4").tobytes()).hexdigest()
+
+    return samples.map(one)
+
+
+def stable_key(kind: str, schema: int, **values: Column) -> Column:
+    """SHA-256 of a key's parts as compact JSON, names in order."""
+    parts = {"kind": F.lit(kind), "schema": F.lit(schema), **values}
+    return F.sha2(F.to_json(F.struct(*[parts[c].alias(c) for c in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
+def derived_identity(operation: Column, options: Column, path: Column, size: Column, modified: Column, schema: int = 1) -> Column:
+    """JSON that tells what a derived file was made from: operation, options and the source's path, size and time."""
+    source = F.struct(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).alias("path"), size.alias("size"), modified.alias("mtime_ns"))
+    return F.to_json(F.struct(F.lit(schema).alias("schema"), operation.alias("operation"), source.alias("source"), options.alias("options")), {"ignoreNullFields": "false"})
+
+
+@pandas_udf(BooleanType())
+def metadata_matches(stored: pd.Series, expected: pd.Series) -> pd.Series:
+    """Whether stored JSON says the same as expected JSON, in any order of names; null or broken JSON does not."""
+    def same(a, b):
+        try:
+            return json.loads(a) == json.loads(b)
+        except (TypeError, ValueError):
+            return False
+
+    return pd.Series([same(a, b) for a, b in zip(stored, expected, strict=True)])
+
+
 def apply_overrides(rows: DataFrame, by_line: DataFrame, by_surface: DataFrame) -> DataFrame:
     """``override``: by (line, surface), else by surface, else null."""
     a = by_line.select("line", "surface", F.col("reading").alias("_line"))
@@ -139,7 +214,7 @@ def with_cache(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame,
 def prune_stage(decisions: DataFrame, active: DataFrame, stage: str) -> DataFrame:
     """Drops the stage's decisions whose key is not active; other stages' stay."""
     live = decisions.where(F.col("stage") == stage).join(active.select("key").distinct(), "key", "left_semi")
-    return decisions.where(F.col("stage") != stage).unionByName(live)
+    return decisions.where(~F.col("stage").eqNullSafe(stage)).unionByName(live)
 
 
 def update_baseline(baseline: DataFrame, written: DataFrame, table: DataFrame) -> DataFrame:
@@ -166,10 +241,11 @@ def match_timings(lines: DataFrame, timings: DataFrame, song: list[str]) -> Data
             places.setdefault(x, []).append(i)
         times, at, out = have._at.tolist(), 0, []
         for no, x in zip(want._at, want._text, strict=True):
-            later = next((i for i in places.get(x, ()) if i >= at), None) if x else None
-            if later is not None:
-                out.append((*key, int(no), times[later]))
-                at = later + 1
+            known = places.get(x, ()) if x else ()
+            k = bisect.bisect_left(known, at)
+            if k < len(known):
+                out.append((*key, int(no), times[known[k]]))
+                at = known[k] + 1
         return pd.DataFrame(out, columns=[*song, "line_no", "t"])
 
     return a.unionByName(b).groupBy(*song).applyInPandas(run, schema)

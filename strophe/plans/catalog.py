@@ -42,7 +42,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNITS_SQL = f"WITH u AS (SELECT user_id AS song_id, event_id, {SEC_SQL} AS start, event_type AS unit, value, date_diff('microsecond', TIMESTAMP '{EPOCH}', ts) AS us FROM events)"
-MS = "floor(({0}) * 1000 + 0.5) / 1000"
+MS = "round_even(({0}) * 1000, 0) / 1000"
 
 
 @query(f"""{UNITS_SQL}, n AS (SELECT *, lead(start) OVER (PARTITION BY song_id ORDER BY us, event_id) AS nxt FROM u)
@@ -168,8 +168,8 @@ def q_spans_cut(spark, sf_dir):
 AUDIT_SQL = """WITH d AS (SELECT o_custkey AS song_id, o_orderkey AS ord, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS day FROM orders),
 s AS (SELECT song_id, ord, day AS ref_start, day + (ord % 300) AS ref_end, day * 2 AS ep_start, day * 2 + (ord % 290) AS ep_end, day AS "offset", CAST(ord % 400 AS INT) AS support FROM d),
 l AS (SELECT *, lag(ref_end) OVER w AS pe, lag(ep_end) OVER w AS pp FROM s WINDOW w AS (PARTITION BY song_id ORDER BY ep_start, ord)),
-c AS (SELECT *, coalesce(ref_start < pe - 1e-6, false) AS clip, CASE WHEN coalesce(ref_start < pe - 1e-6, false) THEN floor(pe * 1000 + 0.5) / 1000 ELSE ref_start END AS r FROM l),
-e AS (SELECT *, CASE WHEN clip THEN floor((r + "offset") * 1000 + 0.5) / 1000 ELSE ep_start END AS p, lag(r) OVER (PARTITION BY song_id ORDER BY ep_start, ord) AS pr FROM c)
+c AS (SELECT *, coalesce(ref_start < pe - 1e-6, false) AS clip, CASE WHEN coalesce(ref_start < pe - 1e-6, false) THEN round_even(pe * 1000, 0) / 1000 ELSE ref_start END AS r FROM l),
+e AS (SELECT *, CASE WHEN clip THEN round_even((r + "offset") * 1000, 0) / 1000 ELSE ep_start END AS p, lag(r) OVER (PARTITION BY song_id ORDER BY ep_start, ord) AS pr FROM c)
 SELECT song_id, ord, r AS ref_start, ref_end, p AS ep_start, ep_end, support,
 CASE WHEN ref_end <= ref_start OR ep_end <= ep_start THEN 'empty' WHEN ep_start < pp - 1e-6 THEN 'overlap' WHEN ref_start < pr THEN 'reorder' WHEN clip AND (ref_end <= r OR ep_end <= p) THEN 'contained' ELSE 'ok' END AS status,
 support > 0 AND support < 200 AS weak FROM e"""
@@ -339,11 +339,13 @@ def q_plausible(spark, sf_dir):
     return resolve.plausible(c, 60000, 400000, 200000, ["o_custkey"]).select("o_custkey", "o_orderkey", "choice")
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, rtrim(unnest(string_split(text, chr(10))), ' ' || chr(9)) AS surface FROM documents) SELECT doc_id, CAST(line_no AS INT) AS line_no, surface FROM l WHERE trim(surface, ' ' || chr(9)) <> ''""")
+@query(r"""WITH t AS (SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), chr(12288), ' '), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, generate_subscripts(a, 1) AS n, regexp_replace(unnest(a), '\s+$', '') AS surface FROM t)
+SELECT doc_id, CAST(n - min(n) OVER (PARTITION BY doc_id) + 1 AS INT) AS line_no, surface FROM l WHERE surface <> ''""")
 def q_lyric_lines(spark, sf_dir):
     from strophe.sources.readers import lyric_rows
 
-    return lyric_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], escaped=False, trim_edges=False)
+    return lyric_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], escaped=False)
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(text, '\\P{L}', '', 'g')), 0) AS share FROM documents""")
@@ -372,7 +374,7 @@ def q_lrc(spark, sf_dir):
     return b.select("item_id", "x.t", "x.text")
 
 
-@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 40000 AS DOUBLE) / 3 AS t FROM orders), c AS (SELECT *, CAST(floor(greatest(t, 0) * 100 + 0.5) AS BIGINT) AS cs FROM s)
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 40000 AS DOUBLE) / 3 AS t FROM orders), c AS (SELECT *, CAST(round_even(greatest(t, 0) * 100, 0) AS BIGINT) AS cs FROM s)
 SELECT o_orderkey, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS at FROM c""")
 def q_clock(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.clock((F.col("o_orderkey") % 40000).cast("double") / 3).alias("at"))
@@ -484,7 +486,8 @@ def q_match_timings(spark, sf_dir):
 def q_segment(spark, sf_dir):
     from strophe.operators import lexicon
 
-    text_ = F.concat_ws(" ", F.lit("待ってください"), (F.col("conv_id") % 40).cast("string").alias("n"), F.lit("時"), "role")
+    # The turns' own texts, and what they say waited for by the hour.
+    text_ = F.concat_ws(" ", "text", F.concat((F.col("turn") + 1).cast("string"), F.lit("時待ってください")))
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", text_.alias("text"))
     rows = [(s, r, "待つ", "v", 3, 0, 0, int(f != "base"), f) for s, r, f in lexicon.inflect("待つ", "まつ", "godan")] + [("時", "じ", "時", "ctr", 1, 0, 0, 0, "base")]
     return lexicon.segment_lines(lines, lexicon.spark_lexicon(spark, rows))
@@ -499,6 +502,51 @@ def q_locate(spark, sf_dir):
     return matching.resolve_overlaps(matching.segments_of(got, ["song_id"], max_gap=4000.0), ["song_id"])
 
 
+@query("""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS try_no FROM documents) SELECT doc_id, source, CAST(try_no AS INT) AS try_no FROM r WHERE try_no <= 4""")
+def q_first_tried(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return resolve.first_tried(docs, ["source"], [F.col("n_chars").desc(), "doc_id"], 4).select("doc_id", "source", "try_no")
+
+
+@query("""SELECT doc_id, lang AS reading FROM documents d WHERE doc_id % 4 <> 0 AND lang <> '' AND NOT regexp_full_match(lang, '[ぁ-ゖゝゞー\\s]+')""")
+def q_invalid_overrides(spark, sf_dir):
+    """Every fourth row is as the baseline has it; the others say a language, which is no reading."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), F.lit("").alias("flag"), F.lit("s").alias("surface"), F.col("lang").alias("reading"))
+    base = d.where("line % 4 = 0").select("line", "surface", "reading")
+    return resolve.invalid_overrides(d, base).select(F.col("line").alias("doc_id"), "reading")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS song_id, l_linenumber AS line_no, CAST(l_quantity AS DOUBLE) AS start, CAST(l_extendedprice AS DOUBLE) / 2000 AS t FROM lineitem),
+s AS (SELECT o_orderkey AS song_id, CAST(o_orderkey % 20 AS DOUBLE) AS lo, CAST(o_orderkey % 20 + 15 AS DOUBLE) AS hi FROM orders),
+a AS (SELECT song_id, line_no, min(t) AS t FROM l JOIN s USING (song_id) WHERE t BETWEEN lo AND hi GROUP BY ALL)
+SELECT l.song_id, l.line_no, coalesce(a.t, start) AS start, coalesce(abs(a.t - start) > 0.15, false) AS anchored FROM l LEFT JOIN a ON l.song_id = a.song_id AND l.line_no = a.line_no""")
+def q_anchored(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("song_id"), F.col("l_linenumber").alias("line_no"), F.col("l_quantity").cast("double").alias("start"), (F.col("l_extendedprice").cast("double") / 2000).alias("t"))
+    lo = F.expr("cast(o_orderkey % 20 as double)")
+    segs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("song_id"), F.lit(0).alias("seg_no"), lo.alias("ref_start"), (lo + 15).alias("ref_end"), F.lit(0.0).alias("offset"))
+    return matching.anchored(li.drop("t"), li, segs, ["song_id"]).select("song_id", "line_no", "start", "anchored")
+
+
+@query("""WITH f AS (SELECT user_id AS song_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+w AS (SELECT *, i // 20 AS window_no, i % 20 AS frame, (n + 19) // 20 AS n_windows FROM f),
+z AS (SELECT *, count(*) OVER (PARTITION BY song_id, window_no) AS wn FROM w),
+k AS (SELECT * FROM z WHERE frame >= CASE WHEN window_no = 0 THEN 0 ELSE 3 END AND frame < CASE WHEN window_no = n_windows - 1 THEN wn ELSE wn - 3 END)
+SELECT song_id, event_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY window_no, frame) - 1 AS INT) AS frame FROM k""")
+def q_stitch_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("song_id"), "event_id")
+    order = Window.partitionBy("song_id").orderBy("event_id")
+    e = e.withColumn("i", F.row_number().over(order) - 1).withColumn("n_windows", F.expr("(count(*) over (partition by song_id) + 19) div 20"))
+    e = e.withColumn("window_no", F.expr("i div 20")).withColumn("frame", F.expr("i % 20")).drop("i")
+    return timeline.stitch_windows(e, ["song_id"], trim=3).select("song_id", "event_id", "frame")
+
+
+@query("""SELECT doc_id, sha256('{"frame_stride":' || n_chars || ',"kind":"emissions","model":"' || lang || '","schema":1,"waveform":"' || sha256(source) || '"}') AS key FROM documents""")
+def q_emissions_key(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = resolve.stable_key("emissions", 1, model=F.col("lang"), frame_stride=F.col("n_chars"), waveform=F.sha2("source", 256))
+    return d.select("doc_id", key.alias("key"))
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: durations of every user's events, summed up."""
     d = timeline.post_process(units(spark, sf_dir).withColumn("line_no", F.expr("us div 86400000000")), ["song_id"], ["song_id", "line_no"], ["us", "event_id"], HOLD)

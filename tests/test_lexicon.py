@@ -1,6 +1,7 @@
 """Segmentation, conjugation and counters over a small dictionary."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strophe.operators import lexicon as L
 
@@ -64,3 +65,26 @@ def test_segment_lines(spark):
     assert got == {1: [("狂ってる", "くるってる"), ("夜", "よる")], 2: []}
     found = L.probe(lines, L.spark_lexicon(spark, PLAIN), 5).collect()
     assert {(r.start, r.end, r.reading) for r in found} == {(5, 6, "よる"), (5, 6, "よ")}
+
+
+def test_two_dictionaries_in_turn(spark):
+    lines = spark.createDataFrame([(1, "夜")], "line_no int, text string")
+    for i in range(20):
+        kana = "よるよ"[i % 2 : i % 2 + 2]
+        lex = L.spark_lexicon(spark, [("夜", kana, "夜", "n", 1, 0, 0, 0, "base")])
+        assert [w.kana for r in L.segment_lines(lines, lex).collect() for w in r.words] == [kana]
+
+
+def test_joined_dictionary_equals_a_held_one(spark):
+    texts = ["狂ってる 夜", None, "", "夜が明けても", "待ってください 行かなきゃ", "10冊の夜 abc", "消えちゃう 分からん 知らねえ", "夜", "夜", "高すぎる ように 忘れられていた", "４時 １羽 待たなくちゃ 行けりゃ"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_no int, text string").withColumn("_line", F.lit("clash"))
+    lex = L.spark_lexicon(spark, rows())
+    show = lambda df: sorted((r.line_no, [(w.surface, w.kana, tuple(w.readings)) for w in r.words]) for r in df.collect())
+    assert show(L.segment_lines(lines, lex)) == show(L.segment_lines(lines, lex, broadcast_rows=1))
+
+
+def test_candidates(seg):
+    got = dict(seg.candidates_of("夜が"))
+    assert got["夜"][0] == "よる" and got["が"] == ["が"]
+    wo = L.Segmenter.of([("を", "を", "を", "prt", 1, 0, 0, 0, "base"), ("を", "うぉ", "を", "prt", 1, 1, 0, 0, "base")])
+    assert wo.candidates_of("を") == [("を", ["お"])]

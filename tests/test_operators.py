@@ -1,7 +1,11 @@
 """Inline cases of the operators, with results worked out by hand or by a plain restatement."""
 
+import hashlib
 import itertools
+import json
 import random
+import struct
+from dataclasses import astuple
 
 import numpy as np
 import pytest
@@ -46,7 +50,7 @@ NAMES = ["ref_start", "ref_end", "ep_start", "ep_end", "offset", "support"]
 
 
 def keep(rows):
-    return [tuple(s[c] for c in NAMES) for s in matching.keep_consistent([dict(zip(NAMES, r, strict=True)) for r in rows])]
+    return [astuple(s) for s in matching.keep_consistent([matching.Segment(**dict(zip(NAMES, r, strict=True))) for r in rows])]
 
 
 def test_keep_consistent():
@@ -268,11 +272,10 @@ def test_choose_readings():
     got = acoustic.choose_readings(heard(1, 2, 3, 4, 5), words, VOCAB)
     assert [(d["chosen"], d["confidence"]) for d in got] == [("いまだ", "high")]
     assert sum(p for _, p in got[0]["ranked"]) == pytest.approx(1)
-    assert acoustic.shares([-2, -3, -np.inf])[2] == 0
     with pytest.raises(ValueError):
         acoustic.choose_readings(heard(1), [("x", ["か", "れ"])] * 9, VOCAB)
     with pytest.raises(ValueError):
-        acoustic.shares([-np.inf, -np.inf])
+        acoustic.choose_readings(heard(1), [("x", ["龘", "龍"])], VOCAB)
 
 
 def test_align_and_select(spark):
@@ -324,3 +327,50 @@ def test_states_and_names(spark):
     assert [r.n for r in n.collect()] == ["OP01", "OP.01", ".ass"]
     u = spark.createDataFrame([("https://h.net/tracks/12/",), ("https://h.net/x",), ("https://o.net/tracks/1",), ("::",)], "u string").select(text.track_id(F.col("u"), ("h.net",)).alias("t"))
     assert [r.t for r in u.collect()] == ["12", None, None, None]
+
+
+def test_rounding_at_halves(spark):
+    """Halves go to the even digit: 0.125 s is .12, 0.375 s is .38; 0.0625 s is 0.062, 0.1875 s is 0.188."""
+    got = spark.createDataFrame([(0.125,), (0.375,), (0.0625,), (0.1875,), (59.996,)], "t double").select(scalars.clock(F.col("t")).alias("c"), scalars.millis(F.col("t")).alias("m")).collect()
+    assert [r.c for r in got] == ["0:00:00.12", "0:00:00.38", "0:00:00.06", "0:00:00.19", "0:01:00.00"]
+    assert [r.m for r in got] == [0.125, 0.375, 0.062, 0.188, 59.996]
+
+
+def test_long_marks():
+    vocab = {"か": 1, "あ": 2, "る": 3}
+    assert acoustic.tokenise(["かー", "ー", "る"], vocab) == ([1, 2, 3], [(0, 2), (2, 2), (2, 3)], [])
+    assert acoustic.tokenise(["ーか"], vocab)[0] == [2, 1]  # the vowel of its unit, wherever it stands
+    assert acoustic.tokenise(["るー", "x"], vocab) == ([3], [(0, 1), (1, 1)], ["x"])  # no token for the vowel: silent
+    assert acoustic.tokenise(["かー"], vocab | {"ー": 9})[0] == [1, 9]
+
+
+def test_overrides_and_decisions(spark):
+    table = spark.createDataFrame([(1, "", "a", "あ"), (1, "", "a", "い"), (2, "", "b", "x1"), (3, "", "c", ""), (4, "", "d", "え")], "line int, flag string, surface string, reading string").coalesce(1)
+    base = spark.createDataFrame([(4, "d", "え")], "line int, surface string, reading string")
+    by_line, by_surface = resolve.manual_overrides(table, base)
+    assert {(r.line, r.reading) for r in by_line.collect()} == {(1, "い"), (2, "x1")} and [r.surface for r in by_surface.collect()] == ["b"]
+    rows = spark.createDataFrame([(1, "a"), (9, "b"), (9, "c")], "line int, surface string")
+    assert {(r.surface, r.override) for r in resolve.apply_overrides(rows, by_line, by_surface).collect()} == {("a", "い"), ("b", "x1"), ("c", None)}
+    assert [(r.line, r.reading) for r in resolve.invalid_overrides(table, base).collect()] == [(2, "x1")]
+    d = spark.createDataFrame([("k", None), ("k", "s"), ("m", "s"), ("m", "t")], "key string, stage string")
+    kept = resolve.prune_stage(d, spark.createDataFrame([("k",)], "key string"), "s").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in d.collect() if (r.key, r.stage) != ("m", "s")]))
+
+
+def test_providers(spark):
+    kinds = "kind string, sequence string, title string, artist string, series string, source string, ord bigint"
+    one = spark.createDataFrame([("OP", "1", "Song!", "", "My Show", "a", 0)], kinds)
+    two = spark.createDataFrame([("OP", "1", "song", "Band", "My Show", "b", 0), ("ED", "1", "Other", "", "My Show", "b", 1)], kinds)
+    found, status = resolve.search_themes({"a": lambda: one, "down": lambda: 1 / 0, "b": lambda: two}, "my show", "OP")
+    assert [(r.title, r.artist, r.source, r.rank) for r in found.collect()] == [("Song!", "Band", "a+b", 1)] and status == {"a": "ok", "down": "ZeroDivisionError", "b": "ok"}
+    assert resolve.search_themes({"down": lambda: 1 / 0}, "q")[0] is None
+
+
+def test_identities(spark):
+    df = spark.createDataFrame([([0.5, -1.0], '{"b": 1, "a": [2]}', '{"a":[2],"b":1}'), ([0.5, -1.0], "{", "{}"), (None, None, "{}")], "x array<double>, s string, e string")
+    got = df.select(resolve.array_identity("x").alias("i"), resolve.metadata_matches("s", "e").alias("m")).collect()
+    want = hashlib.sha256(b"(2,)" + struct.pack("<2f", 0.5, -1.0)).hexdigest()
+    assert [r.i for r in got] == [want, want, hashlib.sha256(b"(0,)").hexdigest()] and [r.m for r in got] == [True, False, False]
+    row = spark.range(1).select(resolve.derived_identity(F.lit("split"), F.struct(F.lit(2).alias("n")), F.lit("/A/b.wav"), F.lit(7), F.lit(8)).alias("d")).first()
+    assert json.loads(row.d) == {"schema": 1, "operation": "split", "source": {"path": "/a/b.wav", "size": 7, "mtime_ns": 8}, "options": {"n": 2}}
+    assert spark.range(1).select(kana.display_reading(F.lit("おもって ほど")).alias("d")).first().d == "おもって ほど [omotte hodo]"
