@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strophe.llm.common import free_name, materialize, running_sums
 
 BLOCK = 256
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = (5, 2, 1)
 POINT_BITS = 62
