@@ -461,7 +461,19 @@ def q_resolve_overlaps(spark, sf_dir):
     return matching.resolve_overlaps(_rival_segments(spark, sf_dir), ["song_id"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS song_id, o_orderkey AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS d FROM orders),
+s AS (SELECT song_id, d AS ref_start, d + 5 + k % 90 AS ref_end, d + k % 7 AS ep_start, d + k % 7 + 5 + k % 90 AS ep_end, CAST(k % 7 AS DOUBLE) AS "offset", CAST(k % 997 AS INT) AS support,
+  row_number() OVER (PARTITION BY song_id ORDER BY d + k % 7, d, k) AS i FROM o),
+m AS (SELECT a.song_id, a.i, (a.ep_end - a.ep_start) * greatest(a.support, 1) AS w, list(b.i ORDER BY b.i) FILTER (WHERE b.i IS NOT NULL) AS may
+  FROM s a LEFT JOIN s b ON b.song_id = a.song_id AND b.i < a.i AND b.ep_end - 3 <= a.ep_start AND b.ref_end - 3 <= a.ref_start GROUP BY ALL),
+c AS (SELECT song_id, i, [w] AS best, [[i]] AS chains FROM m WHERE i = 1
+  UNION ALL
+  SELECT song_id, i, list_append(best, w + coalesce(best[j], 0)), list_append(chains, list_append(coalesce(chains[j], []), i))
+  FROM (SELECT m.song_id, m.i, m.w, c.best, c.chains, m.may[list_position(list_transform(m.may, lambda x: c.best[x]), list_max(list_transform(m.may, lambda x: c.best[x])))] AS j
+    FROM c JOIN m ON m.song_id = c.song_id AND m.i = c.i + 1)),
+e AS (SELECT song_id, chains[list_position(best, list_max(best))] AS chain FROM c QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY i DESC) = 1),
+p AS (SELECT song_id, generate_subscripts(chain, 1) - 1 AS seg_no, unnest(chain) AS i FROM e)
+SELECT song_id, CAST(seg_no AS INT) AS seg_no, ref_start, ref_end, ep_start, ep_end, "offset", support FROM p JOIN s USING (song_id, i)""")
 def q_chain(spark, sf_dir):
     return matching.best_chain(_rival_segments(spark, sf_dir), ["song_id"])
 
@@ -473,7 +485,16 @@ def _rival_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("song_id"), k.alias("ord"), day.alias("ref_start"), (day + 5 + k % 90).alias("ref_end"), (day + k % 7).alias("ep_start"), (day + k % 7 + 5 + k % 90).alias("ep_end"), (k % 7).cast("double").alias("offset"), (k % 997).cast("int").alias("support"))
 
 
-@query()
+# The tables' texts are in NFKC already, which the SQL's folding leaves out.
+@query("""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS n, unnest(a) AS line FROM d),
+f AS (SELECT doc_id, n, regexp_replace(lower(line), '[^0-9a-zぁ-ゖァ-ヺー一-鿿]', '', 'g') AS x FROM l),
+h AS (SELECT doc_id, CASE WHEN n % 3 = 1 THEN x || 'unheard' ELSE x END AS x, list(n ORDER BY n) AS times FROM f GROUP BY ALL),
+s AS (SELECT f.doc_id, f.n, h.times FROM f LEFT JOIN h ON h.doc_id = f.doc_id AND h.x = f.x AND f.x <> ''),
+w AS (SELECT doc_id, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ahead, CAST(NULL AS BIGINT) AS t FROM d
+  UNION ALL
+  SELECT doc_id, n, coalesce(t + 1, ahead), t FROM (SELECT s.doc_id, s.n, w.ahead, list_min(list_filter(s.times, lambda v: v >= w.ahead)) AS t FROM w JOIN s ON s.doc_id = w.doc_id AND s.n = w.n + 1))
+SELECT doc_id, CAST(n AS INT) AS line_no, CAST(t AS DOUBLE) AS t FROM w WHERE t IS NOT NULL""")
 def q_match_timings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     # Every line is timed; a third of the timings have another text, so that lines without one occur.
