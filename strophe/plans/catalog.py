@@ -456,7 +456,33 @@ def q_ctc_select(spark, sf_dir):
     return select_readings(frames(spark, sf_dir), lines, TOKENS, ["song_id"])
 
 
-@query()
+#: Segments pass one by one, strongest first, over those kept so far: a step of the recursion per kept one (j), and one to end with.
+RESOLVE_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS song_id, o_orderkey AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS d FROM orders),
+s AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k % 997 DESC, k) AS i,
+  {rs: d, re: d + 5 + k % 90, es: d + k % 7, ee: d + k % 7 + 5 + k % 90, off: CAST(k % 7 AS DOUBLE), sup: CAST(k % 997 AS INT)} AS seg FROM o),
+w AS (
+  SELECT song_id, i, CAST(0 AS BIGINT) AS j, seg, list_filter([seg], lambda x: false) AS kept, list_filter([seg], lambda x: false) AS sh FROM s WHERE i = 1
+  UNION ALL
+  SELECT a.song_id, a.i, a.j, coalesce(a.seg, s.seg), a.kept, a.sh FROM (
+    SELECT song_id, i, j + 1 AS j, CASE WHEN NOT a AND b THEN {rs: seg.rs, re: seg.re + x.es - seg.ee, es: seg.es, ee: x.es, off: seg.off, sup: seg.sup} ELSE seg END AS seg, kept,
+      list_append(sh, CASE WHEN a THEN {rs: x.rs, re: x.re + seg.es - x.ee, es: x.es, ee: seg.es, off: x.off, sup: x.sup} ELSE x END) AS sh
+    FROM (SELECT *, least(seg.es - x.es, seg.ee - x.ee) >= 2.5 AND x.ee - seg.es > 3 AND x.rs < seg.rs AND x.re - seg.rs <= 3 AS a,
+        least(x.es - seg.es, x.ee - seg.ee) >= 2.5 AND seg.ee - x.es > 3 AND seg.rs < x.rs AND seg.re - x.rs <= 3 AS b
+      FROM (SELECT *, kept[j + 1] AS x FROM w WHERE j < len(kept) AND seg IS NOT NULL))
+    UNION ALL
+    SELECT song_id, i + 1, 0, NULL, CASE WHEN hi - lo >= 2.5 AND seg.ee - seg.es - (hi - lo) <= 3
+      THEN list_append(sh, {rs: seg.rs + lo - seg.es, re: seg.re + hi - seg.ee, es: lo, ee: hi, off: seg.off, sup: seg.sup}) ELSE kept END, list_filter(sh, lambda x: false)
+    FROM (SELECT *, gap.lo AS lo, gap.hi AS hi FROM (SELECT *, list_sort(list_transform(gaps, lambda g: {size: g.lo - g.hi, lo: g.lo, hi: g.hi}))[1] AS gap
+      FROM (SELECT *, list_transform(range(1, len(t) + 1), lambda k: {lo: list_max(list_append(list_transform(t[1:k - 1], lambda y: y.ee), seg.es)), hi: least(t[k].es, seg.ee)}) AS gaps
+        FROM (SELECT *, list_append(list_sort(list_transform(list_filter(sh, lambda y: y.ee > seg.es AND y.es < seg.ee), lambda y: {es: y.es, ee: y.ee})), {es: seg.ee, ee: seg.ee}) AS t
+          FROM w WHERE j = len(kept) AND seg IS NOT NULL))))
+  ) a LEFT JOIN s ON a.seg IS NULL AND s.song_id = a.song_id AND s.i = a.i),
+e AS (SELECT song_id, kept FROM w WHERE seg IS NULL),
+p AS (SELECT song_id, generate_subscripts(kept, 1) AS n, unnest(kept) AS x FROM e)
+SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY x.es, n) - 1 AS INT) AS seg_no, x.rs AS ref_start, x.re AS ref_end, x.es AS ep_start, x.ee AS ep_end, x.off AS "offset", x.sup AS support FROM p"""
+
+
+@query(RESOLVE_SQL)
 def q_resolve_overlaps(spark, sf_dir):
     return matching.resolve_overlaps(_rival_segments(spark, sf_dir), ["song_id"])
 
